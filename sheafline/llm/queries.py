@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafline.llm import conversations, leaks, lookalike, mixture, transcripts
+from sheafline.llm import conversations, emails, leaks, lookalike, mixture, ocr, transcripts
 from sheafline.session import read
 
 P3_SQL = r"""
@@ -31,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": lambda s, d: conversations.found(read(s, d, "conversation_messages")),
         "p4_found": lambda s, d: transcripts.found(read(s, d, "transcript_drafts")),
+        "p6_found": lambda s, d: emails.found(read(s, d, "mail_chunks")),
+        "p7_found": lambda s, d: ocr.found(read(s, d, "ocr_words"), read(s, d, "known_words")),
+        "p7_paragraphs": lambda s, d: ocr.repaired_paragraphs(read(s, d, "ocr_regions"), read(s, d, "known_words")),
         "p8_found": lambda s, d: leaks.found(read(s, d, "documents"), read(s, d, "eval_items")),
         "p9_mixture": lambda s, d: mixture.mixture(read(s, d, "documents"), read(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixture.shares(mixture.mixture(read(s, d, "documents"), read(s, d, "mix_targets")), read(s, d, "mix_targets")),
