@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafline.llm import conversations, emails, leaks, lookalike, mixture, ocr, transcripts
+from sheafline.llm import conversations, emails, knn, leaks, lookalike, mixture, neardup, ocr, transcripts
 from sheafline.session import read
 
 P3_SQL = r"""
@@ -29,6 +29,9 @@ select conversation_id, turn, id as message_id from p semi join ok using (conver
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda s, d: neardup.found(read(s, d, "chunks")),
+        "p1_groups": lambda s, d: neardup.groups(read(s, d, "documents"), "doc_id", "text"),
+        "p2_found": lambda s, d: knn.found(read(s, d, "vector_drafts")),
         "p3_found": lambda s, d: conversations.found(read(s, d, "conversation_messages")),
         "p4_found": lambda s, d: transcripts.found(read(s, d, "transcript_drafts")),
         "p6_found": lambda s, d: emails.found(read(s, d, "mail_chunks")),
