@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 PER_PIVOT = 250
 PIVOTS = (16, 4096)
 PREFIX = 8
-FILES = 3
+FILES = 4
 #: Vectors ranked again per query and file, and vectors of a file met in one block.
 RERANK = 64
 BLOCK = 3000
@@ -78,9 +78,13 @@ def footrule_closeness(rows: np.ndarray, cols: np.ndarray, length: int) -> np.nd
     return out
 
 
-def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor: float = -2.0, files: int = FILES, prefix: int = PREFIX, rerank: int = RERANK, per_pivot: int = PER_PIVOT, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor: float = -2.0, files: int = FILES, prefix: int = PREFIX, rerank: int = RERANK, per_pivot: int = PER_PIVOT, block: int = BLOCK, asked: Column | None = None) -> DataFrame:
     """query, neighbour, similarity, rank: the k most similar other vectors of every vector, of ``floor`` or more.
 
+    ``asked`` tells by the key, named ``id``, which vectors are queries (else all are).
+    Defaults suit a high floor; for neighbours at any distance take more pivots,
+    more files and a wider second ranking, as ``most_similar`` does.
+
     ``vectors`` holds each key once, with vectors of one length that ``usable`` lets
     pass. Ties go to the lesser key. Equal vectors are indexed once; as neighbours
     at most k + 1 of them, the least keys, can count, so no group of copies is
@@ -89,8 +93,8 @@ def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor:
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
     v = vectors.select(F.col(key).alias("id"), F.col(embedding).cast("array<float>").alias("e"))
-    v = v.withColumn("h", F.xxhash64("e")).withColumn("g", F.hash("e"))
-    reps = v.groupBy("h", "g").agg(F.min_by("e", "id").alias("e"), F.min("id").alias("rep"))
+    v = v.withColumn("h", F.xxhash64("e")).withColumn("g", F.hash("e")).withColumn("ask", asked if asked is not None else F.lit(True))
+    reps = v.groupBy("h", "g").agg(F.min_by("e", "id").alias("e"), F.min("id").alias("rep"), F.max("ask").alias("ask"))
     n = vectors.count()
     want = int(min(PIVOTS[1], max(PIVOTS[0], n // per_pivot)))
     drawn = v.select("e", "id").orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(want).select("e").toPandas()["e"]
@@ -140,9 +144,9 @@ def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor:
                 side.extend([0] * len(plain))
             e = np.stack(pdf["e"].tolist()).astype("<f4")
             rep = pdf["rep"].to_numpy()
-            yield pd.DataFrame({"file": np.array(file, np.int32), "lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32), "side": np.array(side, np.int32), "rep": rep[rows], "perm": [perm[r].tobytes() for r in rows], "e": [e[r].tobytes() for r in rows]})
+            yield pd.DataFrame({"file": np.array(file, np.int32), "lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32), "side": np.array(side, np.int32), "ask": pdf["ask"].to_numpy()[rows], "rep": rep[rows], "perm": [perm[r].tobytes() for r in rows], "e": [e[r].tobytes() for r in rows]})
 
-    posted = reps.select("rep", "e").mapInPandas(post, f"file int, lo int, hi int, side int, rep {kind}, perm binary, e binary")
+    posted = reps.select("rep", "e", "ask").mapInPandas(post, f"file int, lo int, hi int, side int, ask boolean, rep {kind}, perm binary, e binary")
 
     def meet(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(df) < 2:
@@ -153,8 +157,11 @@ def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor:
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         x32 = x.astype(np.float32)
         perm = np.frombuffer(b"".join(df["perm"]), np.int16).reshape(len(df), length)
-        side = df["side"].to_numpy()
-        halves = [(np.arange(len(df)),) * 2] if not side.any() else [(np.flatnonzero(side == 1), np.flatnonzero(side == 2)), (np.flatnonzero(side == 2), np.flatnonzero(side == 1))]
+        side, ask = df["side"].to_numpy(), df["ask"].to_numpy()
+        if not side.any():
+            halves = [(np.flatnonzero(ask), np.arange(len(df)))]
+        else:
+            halves = [(np.flatnonzero((side == x) & ask), np.flatnonzero(side == 3 - x)) for x in (1, 2)]
         for qs, ts in halves:
             if not len(ts):
                 continue
@@ -197,15 +204,15 @@ def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor:
     top = met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
     # members of the classes of equal vectors: all as queries, the least k + 1 as neighbours
-    classes = v.join(reps.select("h", "g", "rep"), ["h", "g"]).select("id", "rep")
+    classes = v.join(reps.select("h", "g", "rep"), ["h", "g"]).select("id", "rep", "ask")
     many = classes.groupBy("rep").count().where("count > 1").select("rep")
     copies = classes.join(many, "rep", "left_semi")
     least = copies.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("_r") <= k + 1).select("rep", F.col("id").alias("t2"))
     wide = top.join(least, top["t"] == least["rep"], "left").select("q", F.coalesce("t2", "t").alias("t"), "similarity")
     among = least.select(F.col("rep").alias("q"), F.col("t2").alias("t"), F.lit(1.0).alias("similarity"))
     wide = wide.unionByName(among)
-    mine = copies.select(F.col("rep").alias("q"), F.col("id").alias("q2"))
-    wide = wide.join(mine, "q", "left").select(F.coalesce("q2", "q").alias("query"), F.col("t").alias("neighbour"), "similarity").where("query <> neighbour")
+    mine = copies.select(F.col("rep").alias("q"), F.col("id").alias("q2"), F.col("ask").alias("a2"))
+    wide = wide.join(mine, "q", "left").where(F.coalesce("a2", F.lit(True))).select(F.coalesce("q2", "q").alias("query"), F.col("t").alias("neighbour"), "similarity").where("query <> neighbour")
     rank = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return wide.withColumn("rank", F.row_number().over(rank)).where((F.col("rank") <= k) & (F.col("similarity") >= floor))
 
@@ -225,5 +232,5 @@ def found(vector_drafts: DataFrame) -> DataFrame:
 
 def most_similar(vector_drafts: DataFrame) -> DataFrame:
     """The 10 most similar of every draft whose id is divisible by 20, against all drafts."""
-    near = neighbours(drafts(vector_drafts), "draft_id", "embedding", k=10)
-    return near.where(F.col("query") % 20 == 0).select("query", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+    near = neighbours(drafts(vector_drafts), "draft_id", "embedding", k=10, files=8, prefix=8, rerank=2000, per_pivot=28, asked=F.col("id") % 20 == 0)
+    return near.select("query", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))

@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: neardup.found(read(s, d, "chunks")),
         "p1_groups": lambda s, d: neardup.groups(read(s, d, "documents"), "doc_id", "text"),
         "p2_found": lambda s, d: knn.found(read(s, d, "vector_drafts")),
+        "p2_most_similar": lambda s, d: knn.most_similar(read(s, d, "vector_drafts")),
         "p3_found": lambda s, d: conversations.found(read(s, d, "conversation_messages")),
         "p4_found": lambda s, d: transcripts.found(read(s, d, "transcript_drafts")),
         "p6_found": lambda s, d: emails.found(read(s, d, "mail_chunks")),
