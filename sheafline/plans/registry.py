@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.operators import shred
+from sheafline.plans import retrieval
 from sheafline.session import read
 
+_MODULES = (retrieval,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "p5_found": lambda s, d: shred.found(read(s, d, "uir_raw")),
-    }
+    out: dict = {"p5_found": lambda s, d: shred.found(read(s, d, "uir_raw"))}
+    for m in _MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict = {}
+    for m in _MODULES:
+        out |= m.SQL
+    return out
