@@ -29,7 +29,11 @@ def confidence_of(label: Column) -> Column:
 
 def entities(chunks: DataFrame) -> DataFrame:
     """doc_id, chunk_id, pos, text, type, confidence: what the patterns find, label by label in order; blank texts have none."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), 1), lambda x, k=k: F.struct(x.alias("text"), F.lit(k).alias("type"))) for k, p in PATTERNS.items()])
+
+    def of(label: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 1), lambda x: F.struct(x.alias("text"), F.lit(label).alias("type")))
+
+    found = F.concat(*[of(k, p) for k, p in PATTERNS.items()])
     rows = chunks.select("doc_id", "chunk_id", F.posexplode(found).alias("pos", "e"))
     return rows.select("doc_id", "chunk_id", "pos", F.col("e.text").alias("text"), F.col("e.type").alias("type"), confidence_of(F.col("e.type")).alias("confidence"))
 
