@@ -8,7 +8,6 @@ the accent-sensitive ``UNICODE`` collation, by which texts are grouped in SQL.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,6 @@ INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩
 BLANKS = "\t               　"
 
 
-@lru_cache(maxsize=1)
 def letter_table() -> dict[str, str]:
     """Character to character: the fixed pairs, their accented forms by Unicode decomposition, full-width forms by offset."""
     table = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
