@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.operators import shred
-from sheafline.plans import pages, retrieval
+from sheafline.plans import pages, relations, retrieval
 from sheafline.session import read
 
-_MODULES = (retrieval, pages)
+_MODULES = (retrieval, pages, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
