@@ -152,7 +152,7 @@ def window_keys(texts: DataFrame, key: str, every: bool, only: np.ndarray | None
             owner = np.searchsorted(np.array(starts), at, side="right") - 1
             ids_ = pd.Series(ids)
             signed = h.view(np.int64)
-            yield pd.DataFrame({"id": ids_.iloc[owner].to_numpy(), "key": keys, "around": [signed[p - side : p + window + side] for p in at]})
+            yield pd.DataFrame({"id": ids_.iloc[owner].to_numpy(), "key": keys, "around": pd.Series([signed[p - side : p + window + side] for p in at], dtype=object)})
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(F.col(key).alias("id"), "text").where("text is not null").mapInPandas(run, f"id {kind}, key long, around array<long>")

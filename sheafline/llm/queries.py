@@ -26,6 +26,48 @@ ok as (
 select conversation_id, turn, id as message_id from p semi join ok using (conversation_id)
 """
 
+P1_SQL = r"""
+with once as (select distinct on (chunk_id) chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from chunks where text is not null),
+s as (select distinct chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select chunk_id, w, unnest(range(1, len(w) - 1)) as i from once where len(w) >= 20)),
+n as (select chunk_id, count(*) as n from s group by 1),
+m as (select a.chunk_id as chunk_a, b.chunk_id as chunk_b, count(*) as c from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2)
+select chunk_a, chunk_b from m join n x on x.chunk_id = chunk_a join n y on y.chunk_id = chunk_b where 2.0 * c / (x.n + y.n) >= 0.5
+"""
+
+P2_SQL = """
+with v as (select distinct on (draft_id) draft_id as id, modal_features.vector.embedding::double[] as e from vector_drafts
+  where modal_features.vector.dim = 64 and len(modal_features.vector.embedding) = 64
+    and len(list_filter(modal_features.vector.embedding, lambda x: x is not null and isfinite(x))) = 64
+    and len(list_filter(modal_features.vector.embedding, lambda x: x <> 0)) > 0),
+s as (select a.id as q, b.id as t, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.id <> b.id),
+k as (select q, t, c from s where c >= 0.9 qualify row_number() over (partition by q order by round(c, 12) desc, t) <= 10)
+select distinct least(q, t) as draft_a, greatest(q, t) as draft_b from k where c >= 0.94
+"""
+
+
+def _one_form_sql(text: str) -> str:
+    """``lookalike.one_form`` with composed accents, in SQL."""
+    table = lookalike.letter_table()
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate({text}, {quote(''.join(table) + lookalike.INVISIBLE)}, {quote(''.join(table.values()))})"
+    for joined, letters in lookalike.JOINED.items():
+        out = f"replace({out}, '{joined}', '{letters}')"
+    out = f"translate({out}, {quote(lookalike.BLANKS)}, {quote(' ' * len(lookalike.BLANKS))})"
+    return f"nfc_normalize({out})"
+
+
+def _p8_sql() -> str:
+    grams = "select {0}, list_aggregate(w[i:i + 19], 'string_agg', ' ') as g from (select {0}, w, unnest(range(1, len(w) - 18)) as i from {1} where len(w) >= 20)"
+    words = "(select {0}, regexp_extract_all(lower({1}), '[\\p{{L}}\\p{{N}}]+') as w from {2} where text is not null)"
+    form = _one_form_sql("regexp_replace(text, '</?[A-Za-z][^<>\\n]*>', ' ', 'g')")
+    docs, items = words.format("doc_id", form, "documents"), words.format("item_id", form, "eval_items")
+    return f"with a as ({grams.format('doc_id', docs)}), b as ({grams.format('item_id', items)}) select distinct doc_id, item_id from a join b using (g)"
+
+
+def _p10_sql() -> str:
+    return f"""with k as (select doc_id, text, {_one_form_sql('text')} as look from documents where regexp_matches(text, '[^\\s\\p{{Z}}\\p{{Cf}}]'))
+        select a.doc_id as doc_a, b.doc_id as doc_b from k a join k b on a.look = b.look and a.doc_id < b.doc_id and a.text <> b.text"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -47,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p8_found": _p8_sql(), "p10_found": _p10_sql()}
