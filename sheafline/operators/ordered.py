@@ -28,7 +28,7 @@ def with_run(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = H
     if not found:
         return df.withColumn("_run", F.lit(0)), False
     pieces = max(2, min(1000, math.ceil(max(r["count"] for r in found) / hot_rows)))
-    cut = F.percentile_approx(F.col(order[0]).cast("double"), [F.lit(i / pieces) for i in range(1, pieces)], F.lit(100 * pieces))
+    cut = F.percentile_approx(F.col(order[0]).cast("double"), [i / pieces for i in range(1, pieces)], 100 * pieces)
     spark = df.sparkSession
     hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in found], df.select(*keys).schema)
     same = [df[k].eqNullSafe(hot_keys[k]) for k in keys]
