@@ -49,14 +49,15 @@ def occurrences(text: Column, token: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, token))) / F.length(token)
 
 
-def bm25_lite(tokens: list[str], text: Column, section: Column, avg_words: Column) -> Column:
+def bm25_lite(tokens: list[str], text: Column, section: Column, avg_words: Column, n_words: Column | None = None) -> Column:
     """Saturated term frequency of each token in text and section path, summed; no inverse document frequency.
 
     k1 1.2, b 0.75, and 0.30 more for each occurrence in the section path. Tokens are
-    plain strings, so the sum is one flat expression.
+    plain strings, so the sum is one flat expression. ``n_words`` saves counting
+    the text's words again where they are a column already.
     """
     body, path = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(section, F.lit("")))
-    norm = 0.25 + 0.75 * (F.greatest(F.lit(1.0), word_count(body).cast("double")) / F.greatest(F.lit(1.0), avg_words))
+    norm = 0.25 + 0.75 * (F.greatest(F.lit(1.0), (word_count(body) if n_words is None else n_words).cast("double")) / F.greatest(F.lit(1.0), avg_words))
     score = F.lit(0.0)
     for t in tokens:
         in_path = occurrences(path, F.lit(t))
@@ -65,6 +66,14 @@ def bm25_lite(tokens: list[str], text: Column, section: Column, avg_words: Colum
     return score
 
 
+def contains_any(tokens: list[str], text: Column) -> Column:
+    """Whether any token occurs in the text, as a piece of any word; whatever the case."""
+    low, hit = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    for t in tokens:
+        hit = hit | F.contains(low, F.lit(t))
+    return hit
+
+
 def title_matches(tokens: list[str], title: Column) -> Column:
     """Whether a whole keyword of the title is among the tokens."""
     if not tokens:

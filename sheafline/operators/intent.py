@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
@@ -10,13 +10,6 @@ from sheafline.operators.search import INTENT_THRESHOLD, INTENT_TOP_K, average_w
 from sheafline.operators.structure import neighbour_links
 
 
-def _any_in(keywords: list[str], text: Column) -> Column:
-    low, hit = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
-    for k in keywords:
-        hit = hit | F.contains(low, F.lit(k))
-    return hit
-
-
 def matches(chunks: DataFrame, intent: str, query_vector: list[float] | None = None, top_k: int = INTENT_TOP_K, threshold: float = INTENT_THRESHOLD) -> DataFrame:
     """doc_id, chunk_id, score, score_kind, selected_by of every selected chunk.
 
@@ -27,7 +20,7 @@ def matches(chunks: DataFrame, intent: str, query_vector: list[float] | None = N
     A blank intent selects nothing.
     """
     kws = query_keywords(intent)
-    rows = chunks.withColumn("_text", _any_in(kws, F.col("text"))).withColumn("_title", _any_in(kws, F.col("section_path")))
+    rows = chunks.withColumn("_text", T.contains_any(kws, F.col("text"))).withColumn("_title", T.contains_any(kws, F.col("section_path")))
     rows = rows.join(average_words(chunks), "doc_id").withColumn("_bm25", F.round(T.bm25_lite(kws, F.col("text"), F.col("section_path"), F.col("avg_words")), 4))
     if query_vector is not None and "embedding" in chunks.columns:
         best = dynamic_floor(cosine_top(chunks.select("doc_id", "chunk_id", "embedding"), query_vector, "chunk_id", top_k, "doc_id"), threshold).select("doc_id", "chunk_id", F.round("score", 4).alias("_cos"))

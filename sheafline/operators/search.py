@@ -35,7 +35,8 @@ def doc_titles(chunks: DataFrame) -> DataFrame:
 
 def average_words(chunks: DataFrame) -> DataFrame:
     """doc_id and avg_words of its chunks."""
-    return chunks.groupBy("doc_id").agg(F.avg(T.word_count(F.col("text"))).alias("avg_words"))
+    words = F.col("_words") if "_words" in chunks.columns else T.word_count(F.col("text"))
+    return chunks.groupBy("doc_id").agg(F.avg(words).alias("avg_words"))
 
 
 def scored_passages(chunks: DataFrame, query: str, query_vector: list[float] | None = None, min_score: float = 0.0) -> DataFrame:
@@ -49,14 +50,24 @@ def scored_passages(chunks: DataFrame, query: str, query_vector: list[float] | N
     tokens = query_keywords(query)
     if not (query or "").strip():
         return chunks.limit(0).select("doc_id", F.lit("").alias("doc_title"), "chunk_id", "chunk_index", "page", "text", F.lit(0.0).alias("score"), F.lit(False).alias("title_match"))
-    docs = doc_titles(chunks).join(average_words(chunks), "doc_id").withColumn("title_match", T.title_matches(tokens, F.col("title")))
-    rows = chunks.join(docs, "doc_id")
-    content = T.bm25_lite(tokens, F.col("text"), F.col("section_path"), F.col("avg_words"))
+    counted = chunks.withColumn("_words", T.word_count(F.col("text")))
+    path = T.none_if_blank(F.col("section_path"))
+    per_doc = counted.groupBy("doc_id").agg(F.avg("_words").alias("avg_words"), F.min_by(path, F.when(path.isNotNull(), F.struct("chunk_index", "chunk_id"))).alias("_t"))
+    docs = per_doc.select("doc_id", "avg_words", F.coalesce("_t", F.lit("Untitled document")).alias("title")).withColumn("title_match", T.title_matches(tokens, F.col("title")))
+    rows = counted.join(docs, "doc_id")
+    content = T.bm25_lite(tokens, F.col("text"), F.col("section_path"), F.col("avg_words"), F.col("_words"))
     if query_vector is not None and "embedding" in chunks.columns:
         content = F.coalesce(cosine(F.col("embedding"), query_vector), content)
-    rows = rows.withColumn("content", content).where((F.col("content") != 0) | F.col("title_match"))
-    score = F.col("content") + F.when(F.col("title_match"), TITLE_BOOST).otherwise(0.0)
-    return rows.withColumn("raw", score).where(F.col("raw") >= min_score).select("doc_id", F.col("title").alias("doc_title"), "chunk_id", "chunk_index", "page", "text", F.round("raw", 6).alias("score"), "title_match")
+    if query_vector is None or "embedding" not in chunks.columns:
+        # a lexical score is over 0 just where a token occurs; that test is cheap, so the score stands in the plan once
+        rows = rows.where(T.contains_any(tokens, F.col("text")) | T.contains_any(tokens, F.col("section_path")) | F.col("title_match"))
+        rows = rows.withColumn("content", content)
+    else:
+        rows = rows.withColumn("content", content).where((F.col("content") != 0) | F.col("title_match"))
+    rows = rows.withColumn("raw", F.col("content") + F.when(F.col("title_match"), TITLE_BOOST).otherwise(0.0))
+    if min_score > 0:
+        rows = rows.where(F.col("raw") >= min_score)
+    return rows.select("doc_id", F.col("title").alias("doc_title"), "chunk_id", "chunk_index", "page", "text", F.round("raw", 6).alias("score"), "title_match")
 
 
 def search(chunks: DataFrame, query: str, query_vector: list[float] | None = None, top_k: int = TOP_K, min_score: float = 0.0) -> DataFrame:
