@@ -25,6 +25,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Pieces that a source's shuffled order, and the finish times, are cut into for prefix sums.
 BLOCKS = 256
 _PIECE = 20_000
+#: Targets are sent to all tasks up to this many.
+TARGETS = 10_000
 
 
 def token_counts(texts: DataFrame, column: str = "text", folder: str = TOKENIZERS) -> DataFrame:
@@ -86,8 +88,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     """
     goal = targets.select(plain_source(F.col("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("repeats")).where("target_share > 0 and repeats > 0")
     docs = token_counts(documents.select("doc_id", plain_source(F.col("source")).alias("source"), "text").where("source is not null and text is not null").select("doc_id", "source", "text"), folder=folder)
+    if goal.limit(TARGETS + 1).count() <= TARGETS:
+        goal = F.broadcast(goal)
     # doc_id, source and size are all that is kept: tokens are counted once
-    sized = materialize(docs.where("n_tokens > 0").join(F.broadcast(goal), "source"))
+    sized = materialize(docs.where("n_tokens > 0").join(goal, "source"))
     supply = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.first("target_share").alias("share"), F.first("repeats").alias("repeats"), F.max("n_tokens").alias("largest"))
     limit = supply.agg(F.sum("share").alias("all"), F.min(F.col("tokens") * F.col("repeats") / F.col("share")).alias("least"), F.sum("largest").alias("jumps"), F.max("share").alias("top")).first()
     if limit["all"] is None:
@@ -110,10 +114,9 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """What was reached: source, target_share, actual_share, tokens, documents, max_epoch; one row per target."""
     got = mix.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.max("epoch").alias("max_epoch"))
-    whole = mix.agg(F.sum("n_tokens").alias("whole"))
+    got = got.withColumn("whole", F.sum("tokens").over(Window.partitionBy()))  # a row per source
     goal = targets.select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats")
     return (
         goal.join(got, "source", "left")
-        .crossJoin(F.broadcast(whole))
         .select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("max_epoch", F.lit(0)).alias("max_epoch"), "max_repeats")
     )

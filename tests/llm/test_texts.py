@@ -107,8 +107,8 @@ def test_long_lists_are_cut(spark):
     rows = [(f"k{i}", " ".join(["same words stand in all of these records always again"] * 1 + [f"x{i}"])) for i in range(60)]
     sets = neardup.shingle_sets(spark.createDataFrame(rows, "k string, t string"), "k", "t", 3, 3)
     counts = np.full(1 << 12, 60)
-    whole = neardup.meetings(neardup.postings(sets.where("shingles is not null"), counts, 20, 2.0, 12), 20, 3).collect()
-    cut = neardup.meetings(neardup.postings(sets.where("shingles is not null"), counts, 20, 2.0, 12, limit=7), 20, 3).collect()
+    whole = neardup.meetings(neardup.postings(sets.where("shingles is not null"), counts, 20, 2.0, 12), 3).collect()
+    cut = neardup.meetings(neardup.postings(sets.where("shingles is not null"), counts, 20, 2.0, 12, limit=7), 3).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(whole) == 60 * 59 // 2
 
 
