@@ -112,3 +112,35 @@ def mentioned_files(messages: DataFrame, jobs: DataFrame) -> DataFrame:
 def visible(jobs: DataFrame, status: Column) -> DataFrame:
     """Jobs that can be searched: done, with a document."""
     return jobs.where((status == "done") & F.col("uir_path").isNotNull())
+
+
+def add_messages(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages with the new ones, and conversations with updated_at of their latest; contents are cut to 8000 characters."""
+    fresh = new.withColumn("content", F.substring("content", 1, 8000))
+    last = fresh.groupBy("conversation_id").agg(F.max("created_at").alias("_at"))
+    bumped = conversations.join(last, "conversation_id", "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("_at", "updated_at"))).drop("_at")
+    return bumped, messages.unionByName(fresh, allowMissingColumns=True)
+
+
+def command_question(content: Column, command: str = "@fireworks") -> Column:
+    """What follows the command at the start of a message, whatever its case; null if it isn't one."""
+    q = T.strip(F.regexp_extract(T.strip(content), rf"(?is)^\Q{command}\E(?:\s+(.*))?$", 1))
+    return F.when(F.lower(T.strip(content)).startswith(command.lower()), q)
+
+
+def without_mentions(content: Column) -> Column:
+    """The text without @names, white space collapsed."""
+    return T.strip(F.regexp_replace(F.regexp_replace(content, r"@\S+", ""), r"\s{2,}", " "))
+
+
+def public_fields(meta: Column, allowed: list[str]) -> Column:
+    """A map with the allowed keys only."""
+    return F.map_filter(meta, lambda k, v: k.isin(allowed))
+
+
+def endpoint(url: Column) -> Column:
+    """struct(host, port, secure) of a service address; the port by scheme where none is given."""
+    secure = F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")) == "https", F.lit(False))
+    authority = F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit(""))
+    port = F.regexp_extract(authority, r":(\d+)$", 1)
+    return F.struct(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("localhost")).alias("host"), F.when(port != "", port.try_cast("int")).otherwise(F.when(secure, 443).otherwise(80)).alias("port"), secure.alias("secure"))

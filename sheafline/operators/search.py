@@ -88,9 +88,9 @@ def retrieve(chunks: DataFrame, query: str, query_vector: list[float] | None, to
         if not fit.isEmpty():
             scored = fit.withColumn("score", F.round(cosine(F.col("embedding"), query_vector), 4)).where(F.col("score") >= floor)
             return scored.orderBy(F.desc("score"), "doc_id", "chunk_index").limit(top_k).select("doc_id", "chunk_id", "page", "text", "score")
-    pool = rows.agg(F.avg(T.word_count(F.col("text"))).alias("avg_words"))
+    average = rows.agg(F.avg(T.word_count(F.col("text")))).first()[0] or 1.0
     section = F.col("section_path") if "section_path" in chunks.columns else F.lit("")
-    scored = rows.crossJoin(F.broadcast(pool)).withColumn("score", F.round(T.bm25_lite(query_keywords(query), F.col("text"), section, F.col("avg_words")), 4))
+    scored = rows.withColumn("score", F.round(T.bm25_lite(query_keywords(query), F.col("text"), section, F.lit(float(average))), 4))
     return scored.where("score > 0").orderBy(F.desc("score"), "doc_id", "chunk_index").limit(top_k).select("doc_id", "chunk_id", "page", "text", "score")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.operators import shred
-from sheafline.plans import pages, relations, retrieval
+from sheafline.plans import ingestion, pages, relations, retrieval
 from sheafline.session import read
 
 P5_SQL = """
@@ -26,7 +26,7 @@ select distinct doc_id, node_id, parent_id, child_no, case k
   when 'VARCHAR' then array_to_string(regexp_extract_all(bb->>'$', '-?[0-9]+'), ',') else '' end as box from b
 """
 
-_MODULES = (retrieval, pages, relations)
+_MODULES = (retrieval, pages, relations, ingestion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
