@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 CYRILLIC = ("аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅԌԚԜӀ", "aeopcyxijshdqwlABEKMHOPCTYXIJSGQWI")
 GREEK = ("οναιρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovaipuABEZHIKMNOPTYX")
 #: Hyphens and primes drawn like the plain ones.
-SIGNS = ("‐‑﹣", "---")
+SIGNS = ("\u2010\u2011\ufe63", "---")
 #: Joined forms and their letters.
-JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+JOINED = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
 #: Characters that show nothing.
-INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 #: Blanks within a line.
-BLANKS = "\t               　"
+BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def letter_table() -> dict[str, str]:
@@ -50,7 +50,7 @@ def one_form(text: Column) -> Column:
         mapped = F.replace(mapped, F.lit(joined), F.lit(letters))
     mapped = F.when(text.rlike(r"[^\x00-\x7f]"), mapped).otherwise(text)
     mapped = F.translate(mapped, BLANKS, " " * len(BLANKS))
-    return F.regexp_replace(mapped, r"\r\n?|[  \u0085]", "\n")
+    return F.regexp_replace(mapped, "\r\n?|[\u2028\u2029\u0085]", "\n")
 
 
 def classes(documents: DataFrame) -> DataFrame:

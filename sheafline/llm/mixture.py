@@ -23,7 +23,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 # Fixed value: the public split pattern that belongs to the rank file.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a source's shuffled order, and the finish times, are cut into for prefix sums.
-BLOCKS = 256
+BLOCKS = 1024
 _PIECE = 20_000
 #: Targets are sent to all tasks up to this many.
 TARGETS = 10_000
