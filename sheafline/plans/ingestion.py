@@ -81,7 +81,7 @@ SQL = {
     "scanned_documents": f"with {REGIONS_SQL} select doc_id, sum(length(coalesce(text, '')))::bigint as n_chars, count(distinct page) as n_pages, sum(length(coalesce(text, ''))) / greatest(count(distinct page), 1) < 50 as looks_scanned from r group by 1",
     "clean_words": f"with {WORDS_SQL} select word_id, round(least(1.0, case when coalesce(confidence, 0) > 1 then confidence / 100 else coalesce(confidence, 0) end), 6) as confidence from w where trim(text) <> '' and coalesce(confidence, 0) >= 0",
     "document_drafts": f"with {REGIONS_SQL} select doc_id, case label when 'table' then 1 when 'caption' then 2 else 0 end as src_rank, region_id as ord, case label when 'caption' then 'figure' else label end as region_kind, text from r where length(trim(text)) >= 4",
-    "embedded_chunks": f"with {CHUNKS_SQL} select chunk_id, 64::bigint as dim, case when regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]') then 1.0 else 0.0 end as norm from c",
+    "embedded_chunks": f"with {CHUNKS_SQL} select chunk_id, 64::bigint as dim, case when regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]') then 1.0 else 0.0 end::double as norm from c",
     "command_questions": f"with {MESSAGES_SQL} select id, trim(substring(trim(content), 11)) as question from m where starts_with(lower(trim(content)), '@fireworks')",
     "without_mentions": f"with {MESSAGES_SQL} select id, trim(regexp_replace(regexp_replace(content, '@\\S+', '', 'g'), '\\s{{2,}}', ' ', 'g')) as content from m where content is not null",
 }

@@ -95,7 +95,7 @@ QUERIES = {
 
 _MEM = f"{MESSAGES_SQL}, mb as (select distinct conversation_id, lower(trim(sender_email)) as email from m where conversation_id is not null and sender_email is not null)"
 _BUSY = "(select email from mb group by email order by count(*) desc, email limit 1)"
-_SUM = "t as (select conversation_id, substring(regexp_replace(trim(coalesce(arg_max_null(content, id), '')), '\\s+', ' ', 'g'), 1, 120) as last_preview, arg_max_null(role, id) as last_role, count(*) as message_count, max(created_at) as updated_at from m where conversation_id is not null group by conversation_id)"
+_SUM = "t as (select conversation_id, substring(regexp_replace(regexp_replace(coalesce(arg_max_null(content, id), ''), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 120) as last_preview, arg_max_null(role, id) as last_role, count(*) as message_count, max(created_at) as updated_at from m where conversation_id is not null group by conversation_id)"
 _JOBS = "j as (select doc_id as job_id, folder_id, title as filename, created_at as submitted_at from documents), f as (select distinct folder_id from j where folder_id is not null)"
 _FRAMES = f"""{SEGMENTS_SQL}, du as (select doc_id, max(stop) + 45 as d from s group by doc_id),
 st as (select doc_id, d, case when d <= 60 then 5.0 when d <= 300 then 10.0 else greatest(30.0, d / 20) end::double as k from du where d >= 0),
