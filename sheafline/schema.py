@@ -9,20 +9,25 @@ VERSION = "1.0"
 NODE_TYPES = ("document", "section", "table", "figure", "list", "chunk")
 MODAL_TYPES = ("document", "image", "audio", "video")
 
-SOURCE = T.StructType.fromDDL("uri string, format string, route string, mime_type string, size_bytes bigint, checksum string, timestamp timestamp")
-METADATA = T.StructType.fromDDL("title string, author string, created timestamp, modified timestamp, page_count int, language string, domain string, format string")
-ENTITY = T.StructType.fromDDL("text string, type string, confidence double")
-RELATIONSHIP = T.StructType.fromDDL("`from` string, `to` string, type string, confidence double")
-CHUNK = T.StructType.fromDDL("id string, type string, text string, token_count int, page int, bounding_box array<int>, confidence double, region_kind string, section_path string")
-SECTION = T.StructType.fromDDL("id string, type string, title string, page int, bounding_box array<int>").add("children", T.ArrayType(CHUNK))
-SEMANTICS = T.StructType().add("entities", T.ArrayType(ENTITY)).add("relationships", T.ArrayType(RELATIONSHIP)).add("topics", T.ArrayType(T.StringType()))
-PROVENANCE = T.StructType.fromDDL("extraction struct<model: string, version: string, timestamp: timestamp>, normalization struct<version: string, timestamp: timestamp>")
+_S, _I, _L, _D, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.TimestampType()
+_BOX = T.ArrayType(_I)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name.rstrip("_"), kind) for name, kind in fields.items()])
+
+
+SOURCE = _struct(uri=_S, format=_S, route=_S, mime_type=_S, size_bytes=_L, checksum=_S, timestamp=_TS)
+METADATA = _struct(title=_S, author=_S, created=_TS, modified=_TS, page_count=_I, language=_S, domain=_S, format=_S)
+ENTITY = _struct(text=_S, type=_S, confidence=_D)
+RELATIONSHIP = _struct(from_=_S, to=_S, type=_S, confidence=_D)
+CHUNK = _struct(id=_S, type=_S, text=_S, token_count=_I, page=_I, bounding_box=_BOX, confidence=_D, region_kind=_S, section_path=_S)
+SECTION = _struct(id=_S, type=_S, title=_S, page=_I, bounding_box=_BOX, children=T.ArrayType(CHUNK))
+SEMANTICS = _struct(entities=T.ArrayType(ENTITY), relationships=T.ArrayType(RELATIONSHIP), topics=T.ArrayType(_S))
+PROVENANCE = _struct(extraction=_struct(model=_S, version=_S, timestamp=_TS), normalization=_struct(version=_S, timestamp=_TS))
 #: A node as a flat row; the tree is these rows.
-NODE = T.StructType.fromDDL("doc_id string, node_id string, parent_id string, depth int, child_no bigint, node_type string, title string, page int, box string")
-DOCUMENT = (
-    T.StructType().add("uiR_version", T.StringType()).add("id", T.StringType()).add("modal_type", T.StringType()).add("source", SOURCE).add("metadata", METADATA)
-    .add("sections", T.ArrayType(SECTION)).add("semantics", SEMANTICS).add("provenance", PROVENANCE)
-)
+NODE = _struct(doc_id=_S, node_id=_S, parent_id=_S, depth=_I, child_no=_L, node_type=_S, title=_S, page=_I, box=_S)
+DOCUMENT = _struct(uiR_version=_S, id=_S, modal_type=_S, source=SOURCE, metadata=METADATA, sections=T.ArrayType(SECTION), semantics=SEMANTICS, provenance=PROVENANCE)
 
 
 def exported() -> str:
