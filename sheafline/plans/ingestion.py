@@ -74,6 +74,7 @@ QUERIES = {
     "without_mentions": lambda s, d: messages(s, d).where("content is not null").select("id", library.without_mentions(F.col("content")).alias("content")),
 }
 SQL = {
+    "mail_round_trip": "select distinct mail_id, coalesce(subject, '') as subject, coalesce(from_addr, '') as sender, len(regexp_extract_all(coalesce(text, ''), '\\S+')) as n_words from mail_chunks",
     "document_envelopes": "with p as (select distinct on (doc_id) doc_id, payload::json as j from uir_raw where json_valid(payload)) select doc_id, coalesce(nullif(trim(j->>'$.metadata.title'), ''), 'Untitled document') as title, coalesce(j->>'$.metadata.language', 'en') as language from p",
     "region_labels": f"with {REGIONS_SQL} select region_id, case lower(trim(label)) " + " ".join(f"when '{k}' then '{v}'" for k, v in extract.LABELS.items()) + " else 'paragraph' end as label from r",
     "label_counts": f"with {REGIONS_SQL} select case lower(trim(label)) " + " ".join(f"when '{k}' then '{v}'" for k, v in extract.LABELS.items()) + " else 'paragraph' end as label, count(*) as n, count_if(trim(coalesce(text, '')) = '')::bigint as n_empty from r group by 1",

@@ -95,7 +95,7 @@ QUERIES = {
 
 _MEM = f"{MESSAGES_SQL}, mb as (select distinct conversation_id, lower(trim(sender_email)) as email from m where conversation_id is not null and sender_email is not null)"
 _BUSY = "(select email from mb group by email order by count(*) desc, email limit 1)"
-_SUM = "t as (select conversation_id, substring(regexp_replace(regexp_replace(coalesce(arg_max_null(content, id), ''), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 120) as last_preview, arg_max_null(role, id) as last_role, count(*) as message_count, max(created_at) as updated_at from m where conversation_id is not null group by conversation_id)"
+_SUM = "t as (select conversation_id, substring(regexp_replace(regexp_replace(coalesce(arg_max_null(content, id), ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g'), 1, 120) as last_preview, arg_max_null(role, id) as last_role, count(*) as message_count, max(created_at) as updated_at from m where conversation_id is not null group by conversation_id)"
 _JOBS = "j as (select doc_id as job_id, folder_id, title as filename, created_at as submitted_at from documents), f as (select distinct folder_id from j where folder_id is not null)"
 _FRAMES = f"""{SEGMENTS_SQL}, du as (select doc_id, max(stop) + 45 as d from s group by doc_id),
 st as (select doc_id, d, case when d <= 60 then 5.0 when d <= 300 then 10.0 else greatest(30.0, d / 20) end::double as k from du where d >= 0),
@@ -124,4 +124,19 @@ SQL = {
     "frames_in_chunks": f'with {_FRAMES} select s.doc_id, s.seq as chunk_no, fr."timestamp" from s join fr on s.doc_id = fr.doc_id and fr."timestamp" between s.start and s.stop',
     "trailing_frames": f"""with {_FRAMES} select fr.doc_id, count(*) as n_frames, min("timestamp") as first, max("timestamp") as last, 'UNKNOWN' as speaker from fr join (select doc_id, max(stop) as stop from s group by 1) x on fr.doc_id = x.doc_id and fr."timestamp" > x.stop group by fr.doc_id""",
     "speaker_counts": f"with {SEGMENTS_SQL} select doc_id, count(distinct speaker) as n_speakers from s group by 1",
+    "transcript_chunks": f"""with recursive {SEGMENTS_SQL}, o as (select *, coalesce(n_tokens, 0) as n, row_number() over (partition by doc_id order by seq) as rn from s),
+        r as (select doc_id, rn, 0 as chunk_no, case when n >= 384 then 1 else 0 end as next, case when n >= 384 then 0 else n end as held from o where rn = 1
+          union all select doc_id, rn, c, c + case when h >= 384 then 1 else 0 end, case when h >= 384 then 0 else h end from (
+            select o.doc_id, o.rn, r.next + case when r.held > 0 and r.held + o.n > 512 then 1 else 0 end as c, case when r.held > 0 and r.held + o.n > 512 then 0 else r.held end + o.n as h
+            from r join o on o.doc_id = r.doc_id and o.rn = r.rn + 1)),
+        b as (select o.*, r.chunk_no from o join r on o.doc_id = r.doc_id and o.rn = r.rn),
+        k as (select doc_id, chunk_no, speaker, count(*) as c, min(seq) as f from b group by doc_id, chunk_no, speaker qualify row_number() over (partition by doc_id, chunk_no order by c desc, f) = 1),
+        g as (select doc_id, chunk_no, min(start) as start, max(stop) as "end", count(*) as n_segments, sum(n_tokens)::bigint as n_tokens from b group by all)
+        select g.*, k.speaker from g join k on g.doc_id = k.doc_id and g.chunk_no = k.chunk_no""",
+    "login_throttle": """with recursive o as (select event_id, user_id, epoch_us(ts) / 1e6 as t, event_type <> 'purchase' as failed, row_number() over (partition by user_id order by epoch_us(ts) / 1e6, event_id) as rn from events where user_id is not null and ts is not null),
+        r as (select event_id, user_id, rn, false as refused, case when failed then 1 else 0 end as c, t as b, 0::double as u from o where rn = 1
+          union all select event_id, user_id, rn, no, case when no then c when not failed then 0 when k >= 5 then 0 else k end, case when no then b when not failed then t when k >= 5 then t when fresh then t else b end, case when no then u when failed and k >= 5 then t + 900 else 0 end from (
+            select *, case when fresh then 1 else c + 1 end as k from (
+              select o.event_id, o.user_id, o.rn, o.t, o.failed, r.c, r.b, r.u, o.t < r.u as no, r.c = 0 or o.t - r.b > 900 as fresh from r join o on o.user_id = r.user_id and o.rn = r.rn + 1)))
+        select event_id, refused from r""",
 }
