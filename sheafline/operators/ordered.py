@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 HOT_ROWS = 500_000
 
 
-def with_run(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+def with_run(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Add ``_run``, which grows with ``order`` and splits keys of over ``hot_rows`` rows.
 
     The first order column must be numeric or a timestamp; rows that are equal
     in it stay in one run. Returns the frame and whether any key is hot. At
     most (all rows / hot_rows) keys are hot, so what the driver gets is bounded.
+    ``counted`` may name a frame that is cheaper to count and has no fewer rows of any key.
     """
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
+    hot = (df if counted is None else counted).groupBy(*keys).count().where(F.col("count") > hot_rows)
     found = hot.collect()
     if not found:
         return df.withColumn("_run", F.lit(0)), False
@@ -59,6 +60,7 @@ def ordered_scan(
     lasts: dict[str, Column] | None = None,
     prevs: dict[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Running values per key in the given order (nulls first, ascending).
 
@@ -69,7 +71,7 @@ def ordered_scan(
     An empty frame gives an empty frame with the added columns.
     """
     sums, lasts, prevs = sums or {}, lasts or {}, prevs or {}
-    df, hot = with_run(df, keys, order, hot_rows)
+    df, hot = with_run(df, keys, order, hot_rows, counted)
     w = Window.partitionBy(*keys, "_run").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.select(
