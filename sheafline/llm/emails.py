@@ -27,7 +27,6 @@ _INTRO = re.compile(
     r"^\s*(?:on\b.{4,90}\bwrote\s*:|.{0,80}[<(]?\S+@\S+[>)]?\s+wrote(?:\s+on\s.{4,30})?\s*:|am\b.{4,90}\bschrieb\b.{0,60}:|le\b.{4,90}a\s+écrit\s*:|el\b.{4,90}escribió\s*:|quoting\s.{2,90}:|in\s+(?:a\s+)?message\s.{2,90}wrote\s*:)\s*$",
     re.I,
 )
-_INTRO_TOP = re.compile(r"^\s*(?:(?:on|am|le|el)\b.*\d.*|.*)$", re.I)
 _INTRO_TAIL = re.compile(r"^\s*[<(]?\S+@\S+[>)]?\s*(?:wrote|schrieb|escribió|a écrit)?\s*(?:on\s.{4,30})?:\s*$", re.I)
 _FORWARD = re.compile(r"^\s*(?:-{2,}\s*(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message transféré|mensaje original|mensaje reenviado)\s*-*|begin forwarded message\s*:|anfang der weitergeleiteten (?:nachricht|e-mail)\s*:|début du message (?:réexpédié|transféré)\s*:)\s*$", re.I)
 _RULE = re.compile(r"^\s*_{8,}\s*$")

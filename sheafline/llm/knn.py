@@ -59,7 +59,6 @@ def footrule_closeness(rows: np.ndarray, cols: np.ndarray, length: int) -> np.nd
     min(length - i, length - j) over the pivots that both have.
     """
     out = np.zeros((len(rows), len(cols)), np.uint16)
-    by_row: dict[int, list[np.ndarray]] = {}
     flat, place = rows.ravel(), np.tile(np.arange(length), len(rows))
     owner = np.repeat(np.arange(len(rows)), length)
     order = np.argsort(flat, kind="stable")

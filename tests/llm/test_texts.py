@@ -107,8 +107,9 @@ def test_long_lists_are_cut(spark):
     rows = [(f"k{i}", " ".join(["same words stand in all of these records always again"] * 1 + [f"x{i}"])) for i in range(60)]
     sets = neardup.shingle_sets(spark.createDataFrame(rows, "k string, t string"), "k", "t", 3, 3)
     counts = np.full(1 << 12, 60)
-    whole = neardup.meetings(neardup.postings(sets.where("shingles is not null"), counts, 20, 2.0, 12), 3).collect()
-    cut = neardup.meetings(neardup.postings(sets.where("shingles is not null"), counts, 20, 2.0, 12, limit=7), 3).collect()
+    own = sets.where("shingles is not null")
+    whole = neardup.meetings(neardup.postings(own, counts, 20, 2.0, 12, 8), 3).collect()
+    cut = neardup.meetings(neardup.postings(own, counts, 20, 2.0, 12, 8, limit=7), 3).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(whole) == 60 * 59 // 2
 
 
@@ -141,3 +142,11 @@ def test_one_form(spark):
     assert sorted(map(tuple, lookalike.found(df).collect())) == [(1, 2), (1, 5), (1, 6), (2, 5), (2, 6)]
     canon = {r["doc_id"]: (r["class_id"], r["canonical_text"]) for r in lookalike.canonical(df).collect()}
     assert canon[2] == canon[5] == (5, "A first office é Ж") and canon[3][0] == 3
+
+
+def test_packed_marks():
+    import numpy as np
+
+    for n in (0, 1, 2, 7):
+        v = np.arange(4090, 4090 + n).astype(np.uint16) % 4096
+        assert (neardup.unpack12(neardup.pack12(v), n) == v).all()
