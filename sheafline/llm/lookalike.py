@@ -24,6 +24,9 @@ INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\
 #: Blanks within a line.
 BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
+#: Line ends other than a line feed, and controls that show nothing.
+_CONTROLS = "[\\x00-\\x08\\x0b-\\x1f\\x7f\u2028\u2029\u0085]"
+
 
 def letter_table() -> dict[str, str]:
     """Character to character: the fixed pairs, their accented forms by Unicode decomposition, full-width forms by offset."""
@@ -36,13 +39,17 @@ def letter_table() -> dict[str, str]:
             whole = unicodedata.normalize("NFC", base[parts[0]] + parts[1:])
             if len(whole) == 1:
                 table[chr(code)] = whole
+    for code in range(0x80, 0x3000):  # signs that are the same character to Unicode, such as the Kelvin sign
+        whole = unicodedata.normalize("NFC", chr(code))
+        if len(whole) == 1 and whole.isascii():
+            table.setdefault(chr(code), whole)
     return table
 
 
 def one_form(text: Column) -> Column:
     """The text with every character as its plain look-alike; accents may still be composed or combining.
 
-    Plain ASCII texts pass unchanged but for tabs. Line ends become line feeds.
+    Plain ASCII texts pass unchanged but for tabs and controls. Line ends become line feeds.
     """
     table = letter_table()
     mapped = F.translate(text, "".join(table) + INVISIBLE, "".join(table.values()))
@@ -50,7 +57,18 @@ def one_form(text: Column) -> Column:
         mapped = F.replace(mapped, F.lit(joined), F.lit(letters))
     mapped = F.when(text.rlike(r"[^\x00-\x7f]"), mapped).otherwise(text)
     mapped = F.translate(mapped, BLANKS, " " * len(BLANKS))
-    return F.regexp_replace(mapped, "\r\n?|[\u2028\u2029\u0085]", "\n")
+    odd = mapped.rlike(_CONTROLS)
+    clean = F.regexp_replace(F.regexp_replace(mapped, "\r\n?|[\u2028\u2029\u0085]", "\n"), _CONTROLS, "")
+    return F.when(odd, clean).otherwise(mapped)
+
+
+def residue(form: Column) -> Column:
+    """A hash of what a text's accents can't change: its ASCII characters without those that carry combining marks.
+
+    Texts that are equal under the collation have equal residues, so only texts that
+    share one need be collated.
+    """
+    return F.xxhash64(F.when(form.rlike(r"[^\x00-\x7f]"), F.regexp_replace(form, r".\p{M}+|[^\x00-\x7f]", "")).otherwise(form))
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -64,8 +82,11 @@ def classes(documents: DataFrame) -> DataFrame:
     task; the join back meets it by splitting.
     """
     docs = documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}]"))
-    mapped = one_form(F.col("text"))
-    docs = docs.select("doc_id", mapped.alias("mapped"), F.md5(F.col("text").cast("binary")).alias("variant"), F.struct((mapped != F.col("text")).alias("changed"), F.octet_length("text").alias("n"), "doc_id").alias("plainness"))
+    docs = docs.withColumn("mapped", one_form(F.col("text"))).withColumn("variant", F.md5(F.col("text").cast("binary"))).withColumn("residue", residue(F.col("mapped")))
+    # texts that are alone in their residue, or have none but copies there, take no further part
+    shared = docs.groupBy("residue").agg(F.min("variant").alias("v1"), F.max("variant").alias("v2")).where("v1 <> v2").select("residue")
+    docs = docs.join(shared, "residue", "left_semi")
+    docs = docs.select("doc_id", "mapped", "variant", F.struct((F.col("mapped") != F.col("text")).alias("changed"), F.octet_length("text").alias("n"), "doc_id").alias("plainness"))
     docs = docs.withColumn("look", F.collate("mapped", "UNICODE")).drop("mapped")
     groups = docs.groupBy("look").agg(F.min("plainness").alias("best"), F.min("variant").alias("v1"), F.max("variant").alias("v2")).where("v1 <> v2")
     return docs.join(groups, "look").select("doc_id", F.col("best.doc_id").alias("class_id"), "variant")
