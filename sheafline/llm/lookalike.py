@@ -82,11 +82,12 @@ def classes(documents: DataFrame) -> DataFrame:
     task; the join back meets it by splitting.
     """
     docs = documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}]"))
-    docs = docs.withColumn("mapped", one_form(F.col("text"))).withColumn("variant", F.md5(F.col("text").cast("binary"))).withColumn("residue", residue(F.col("mapped")))
+    docs = docs.withColumn("mapped", one_form(F.col("text"))).withColumn("residue", residue(F.col("mapped")))
     # texts that are alone in their residue, or have none but copies there, take no further part
-    shared = docs.groupBy("residue").agg(F.min("variant").alias("v1"), F.max("variant").alias("v2")).where("v1 <> v2").select("residue")
+    stored = F.xxhash64("text")
+    shared = docs.groupBy("residue").agg(F.min(stored).alias("v1"), F.max(stored).alias("v2")).where("v1 <> v2").select("residue")
     docs = docs.join(shared, "residue", "left_semi")
-    docs = docs.select("doc_id", "mapped", "variant", F.struct((F.col("mapped") != F.col("text")).alias("changed"), F.octet_length("text").alias("n"), "doc_id").alias("plainness"))
+    docs = docs.select("doc_id", "mapped", F.md5(F.col("text").cast("binary")).alias("variant"), F.struct((F.col("mapped") != F.col("text")).alias("changed"), F.octet_length("text").alias("n"), "doc_id").alias("plainness"))
     docs = docs.withColumn("look", F.collate("mapped", "UNICODE")).drop("mapped")
     groups = docs.groupBy("look").agg(F.min("plainness").alias("best"), F.min("variant").alias("v1"), F.max("variant").alias("v2")).where("v1 <> v2")
     return docs.join(groups, "look").select("doc_id", F.col("best.doc_id").alias("class_id"), "variant")
