@@ -87,6 +87,7 @@ SQL = {
     "page_box_union": f"with {CHUNKS_SQL} select doc_id, page, min(bounding_box[1])::bigint as x1, min(bounding_box[2])::bigint as y1, max(bounding_box[3])::bigint as x2, max(bounding_box[4])::bigint as y2 from c where {_BOX} group by doc_id, page",
     "preview": f"with {CHUNKS_SQL} select chunk_id, substring(regexp_replace(regexp_replace(coalesce(text, ''), {_STOP}, '', 'g'), '\\s+', ' ', 'g'), 1, 120) as preview from c",
     "token_counts": f"with {CHUNKS_SQL} select chunk_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')) as n_tokens from c",
+    "sentence_counts": "select doc_id, case when regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]', '', 'g') = '' then 0 else 1 + len(regexp_extract_all(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[.!?]\\s+[A-Z(\\[\"''“]')) end as n_sentences from documents where lang = 'en'",
     "paragraph_counts": "select doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\n\\s*\\n+'), lambda p: regexp_replace(p, '[\\s\\p{Z}]', '', 'g') <> '')) as n_paragraphs from documents",
     "markdown_tables": "with t as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: starts_with(ltrim(l), '|') and not contains(l, '---')) as ls from documents) select doc_id, len(ls) as n_rows, greatest(length(ls[1]) - length(replace(ls[1], '|', '')) - 1, 0) as n_cols from t where len(ls) > 0",
     "split_decimals": "select doc_id, length(regexp_replace(regexp_replace(text, '(\\d)\\s+\\.\\s*(\\d)', '\\1.\\2', 'g'), '(\\d)\\s+\\.\\s*(\\d)', '\\1.\\2', 'g')) as n_chars from documents where regexp_matches(text, '\\d\\s+\\.\\s*\\d')",
