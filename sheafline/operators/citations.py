@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheafline.functions.text import strip
+
 _MARK = r"(?<![\w\]])\[(\d{1,9})\]"
 
 
@@ -22,7 +24,7 @@ def validated(reply: Column, n: Column) -> Column:
     raw = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(reply, F.lit("")), F.lit(r"(?<![\w\]])(\[\d{1,9}\])"), 1), lambda m: F.array_contains(bad, F.regexp_replace(m, r"\D", "").cast("long"))))
     gone = F.aggregate(raw, F.coalesce(reply, F.lit("")), lambda s, m: F.regexp_replace(s, F.concat(F.lit(r"(?<![\w\]])\Q"), m, F.lit(r"\E")), F.lit("")))
     tidy = F.regexp_replace(F.regexp_replace(gone, r"[ \t]{2,}", " "), r"\s+([.,;:!?])", "$1")
-    return F.struct(F.when(F.size(bad) > 0, F.trim(tidy)).otherwise(reply).alias("cleaned"), good.alias("cited"), bad.alias("invalid"))
+    return F.struct(F.when(F.size(bad) > 0, strip(tidy)).otherwise(reply).alias("cleaned"), good.alias("cited"), bad.alias("invalid"))
 
 
 def context_block(passages: Column, start: int = 1) -> Column:

@@ -124,6 +124,12 @@ SQL = {
     "frames_in_chunks": f'with {_FRAMES} select s.doc_id, s.seq as chunk_no, fr."timestamp" from s join fr on s.doc_id = fr.doc_id and fr."timestamp" between s.start and s.stop',
     "trailing_frames": f"""with {_FRAMES} select fr.doc_id, count(*) as n_frames, min("timestamp") as first, max("timestamp") as last, 'UNKNOWN' as speaker from fr join (select doc_id, max(stop) as stop from s group by 1) x on fr.doc_id = x.doc_id and fr."timestamp" > x.stop group by fr.doc_id""",
     "speaker_counts": f"with {SEGMENTS_SQL} select doc_id, count(distinct speaker) as n_speakers from s group by 1",
+    "citations_validate": f"""with {MESSAGES_SQL}, r as (select id, content || ' ' || array_to_string(list_transform(regexp_extract_all(coalesce(citations, ''), '"page": ?(\\d+)', 1), lambda p: '[' || p || ']'), ' ') as reply from m where content is not null),
+        f as (select *, list_transform(regexp_extract_all(reply, '(?:^|[^\\w\\]])\\[(\\d{{1,9}})\\]', 1), lambda x: x::bigint) as ns from r),
+        g as (select *, list_distinct(list_filter(ns, lambda x: x < 1 or x > 15)) as bad from f)
+        select id, case when len(bad) > 0 then regexp_replace(regexp_replace(regexp_replace(list_reduce(list_prepend(reply, list_transform(bad, lambda b: b::varchar)), lambda acc, b: regexp_replace(acc, '(^|[^\\w\\]])\\[' || b || '\\]', '\\1', 'g')), '[ \\t]{{2,}}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') else reply end as cleaned,
+          array_to_string(list_transform(list_filter(ns, lambda x, i: x between 1 and 15 and list_position(ns, x) = i), lambda x: x::varchar), ',') as cited,
+          array_to_string(list_transform(list_sort(bad), lambda x: x::varchar), ',') as invalid from g""",
     "render_markdown": f"""with {CHUNKS_SQL}, p as (select *, coalesce(section_path, '') as sp, lag(coalesce(section_path, '')) over (partition by doc_id order by chunk_index, chunk_id) as before from c where text is not null),
         o as (select *, sum(case when sp = '' or before is null or before <> sp then 1 else 0 end) over (partition by doc_id order by chunk_index, chunk_id rows unbounded preceding) as child_no from p),
         s as (select doc_id, child_no, max(sp) <> '' as is_section, max(nullif(regexp_replace(sp, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')) as title,
