@@ -111,7 +111,7 @@ def mentioned_files(messages: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def visible(jobs: DataFrame, status: Column) -> DataFrame:
     """Jobs that can be searched: done, with a document."""
-    return jobs.where((status == "done") & F.col("uir_path").isNotNull())
+    return jobs.where((status == "done") & F.col("document_path").isNotNull())
 
 
 def add_messages(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

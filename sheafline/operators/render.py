@@ -12,7 +12,7 @@ TOC_ENTRIES = 50
 
 
 def markdown(chunks: DataFrame, matches: DataFrame | None = None) -> DataFrame:
-    """doc_id and umr: title, contents of up to 50 sections, sections with their chunks.
+    """doc_id and markdown: title, contents of up to 50 sections, sections with their chunks.
 
     ``matches`` (doc_id, chunk_id) keeps those chunks and drops sections left empty.
     Documents without chunks have no row. One document is one row of the result, so
@@ -33,4 +33,4 @@ def markdown(chunks: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     more = F.when(F.size(named) > TOC_ENTRIES, F.array(F.concat(F.lit("- …("), (F.size(named) - TOC_ENTRIES).cast("string"), F.lit(" more sections)")))).otherwise(F.array().cast("array<string>"))
     toc = F.when(F.size(named) > 0, F.concat(F.lit("**Contents:**\n\n"), F.array_join(F.concat(entries, more), "\n"), F.lit("\n---\n\n"))).otherwise("")
     title = F.coalesce(F.try_element_at(F.transform(named, lambda b: b["title"]), F.lit(1)), F.lit("Untitled document"))
-    return docs.select("doc_id", F.concat(F.lit("# "), title, F.lit("\n\n"), toc, F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit("\n")).alias("umr"))
+    return docs.select("doc_id", F.concat(F.lit("# "), title, F.lit("\n\n"), toc, F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit("\n")).alias("markdown"))

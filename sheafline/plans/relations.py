@@ -136,7 +136,7 @@ SQL = {
           string_agg('<!-- chunk: ' || chunk_id || ', page: ' || coalesce(page::varchar, '?') || ' -->' || chr(10) || rtrim(regexp_replace(text, '(?m)[ \\t]+$', '', 'g')), chr(10) || chr(10) order by chunk_index, chunk_id) as part from o group by doc_id, child_no),
         b as (select *, case when is_section then '## ' || coalesce(title, '(unnamed section)') || chr(10) || chr(10) || part else part end as block from s),
         d as (select doc_id, string_agg(block, chr(10) || chr(10) order by child_no) as body, count(*) filter (where is_section) as n, first(title order by child_no) filter (where is_section) as head, list('- ' || coalesce(title, '(unnamed section)') order by child_no) filter (where is_section) as entries from b group by doc_id)
-        select doc_id, '# ' || coalesce(head, 'Untitled document') || chr(10) || chr(10) || case when n > 0 then '**Contents:**' || chr(10) || chr(10) || array_to_string(entries[1:50] || case when n > 50 then ['- …(' || (n - 50) || ' more sections)'] else [] end, chr(10)) || chr(10) || '---' || chr(10) || chr(10) else '' end || body || chr(10) as umr from d""",
+        select doc_id, '# ' || coalesce(head, 'Untitled document') || chr(10) || chr(10) || case when n > 0 then '**Contents:**' || chr(10) || chr(10) || array_to_string(entries[1:50] || case when n > 50 then ['- …(' || (n - 50) || ' more sections)'] else [] end, chr(10)) || chr(10) || '---' || chr(10) || chr(10) else '' end || body || chr(10) as markdown from d""",
     "transcript_chunks": f"""with recursive {SEGMENTS_SQL}, o as (select *, coalesce(n_tokens, 0) as n, row_number() over (partition by doc_id order by seq) as rn from s),
         r as (select doc_id, rn, 0 as chunk_no, case when n >= 384 then 1 else 0 end as next, case when n >= 384 then 0 else n end as held from o where rn = 1
           union all select doc_id, rn, c, c + case when h >= 384 then 1 else 0 end, case when h >= 384 then 0 else h end from (

@@ -27,7 +27,7 @@ SEMANTICS = _struct(entities=T.ArrayType(ENTITY), relationships=T.ArrayType(RELA
 PROVENANCE = _struct(extraction=_struct(model=_S, version=_S, timestamp=_TS), normalization=_struct(version=_S, timestamp=_TS))
 #: A node as a flat row; the tree is these rows.
 NODE = _struct(doc_id=_S, node_id=_S, parent_id=_S, depth=_I, child_no=_L, node_type=_S, title=_S, page=_I, box=_S)
-DOCUMENT = _struct(uiR_version=_S, id=_S, modal_type=_S, source=SOURCE, metadata=METADATA, sections=T.ArrayType(SECTION), semantics=SEMANTICS, provenance=PROVENANCE)
+DOCUMENT = _struct(schema_version=_S, id=_S, modal_type=_S, source=SOURCE, metadata=METADATA, sections=T.ArrayType(SECTION), semantics=SEMANTICS, provenance=PROVENANCE)
 
 
 def exported() -> str:

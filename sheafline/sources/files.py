@@ -227,7 +227,7 @@ def json_documents(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("path", T.readable_bytes(F.col("content")).alias("payload"))
 
 
-def write_documents(docs: DataFrame, folder: str, text: str = "umr", suffix: str = ".umr.md") -> DataFrame:
+def write_documents(docs: DataFrame, folder: str, text: str = "markdown", suffix: str = ".md") -> DataFrame:
     """One file per document (doc_id and a text column), written where the rows are; returns doc_id, path, n_bytes.
 
     ``folder`` must be shared by all executors. Files appear whole: they are written

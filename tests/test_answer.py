@@ -41,4 +41,4 @@ def test_endpoints_and_schema(spark):
     df = spark.createDataFrame([("https://host/x",), ("http://h:8080",), (None,)], "u string").select("u", library.endpoint(__import__("pyspark").sql.functions.col("u")).alias("e"))
     got = {r["u"]: tuple(r["e"]) for r in df.collect()}
     assert got == {"https://host/x": ("host", 443, True), "http://h:8080": ("h", 8080, False), None: ("localhost", 80, False)}
-    assert '"uiR_version"' in schema.exported()
+    assert '"schema_version"' in schema.exported()

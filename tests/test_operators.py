@@ -70,8 +70,8 @@ def test_heading_carry(spark):
 def test_render(spark):
     df = chunks(spark, [("d", "c0", 0, "bare  ", "", None), ("d", "c1", 1, "one", "A", None), ("d", "c2", 2, "two", "A", None)])
     want = "# A\n\n**Contents:**\n\n- A\n---\n\n<!-- chunk: c0, page: 1 -->\nbare\n\n## A\n\n<!-- chunk: c1, page: 1 -->\none\n\n<!-- chunk: c2, page: 1 -->\ntwo\n"
-    assert render.markdown(df).first()["umr"] == want
-    kept = render.markdown(df, df.where("chunk_id = 'c2'")).first()["umr"]
+    assert render.markdown(df).first()["markdown"] == want
+    kept = render.markdown(df, df.where("chunk_id = 'c2'")).first()["markdown"]
     assert "one" not in kept and "two" in kept
 
 

@@ -39,9 +39,9 @@ def test_lanes(spark, tmp_path):
 
 
 def test_document_sink(spark, tmp_path):
-    docs = spark.createDataFrame([("doc/1", "text"), ("doc_2", None)], "doc_id string, umr string")
+    docs = spark.createDataFrame([("doc/1", "text"), ("doc_2", None)], "doc_id string, markdown string")
     rows = files.write_documents(docs, str(tmp_path / "out")).collect()
-    assert sorted((tmp_path / "out").glob("*")) == sorted(tmp_path / "out" / n for n in ("doc_1.umr.md", "doc_2.umr.md")) and sum(r["n_bytes"] for r in rows) == 4
+    assert sorted((tmp_path / "out").glob("*")) == sorted(tmp_path / "out" / n for n in ("doc_1.md", "doc_2.md")) and sum(r["n_bytes"] for r in rows) == 4
 
 
 def test_streams(spark, tmp_path):
