@@ -62,3 +62,37 @@ def test_total_is_kept(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
     mix = mixture.mixture(docs, targets, total=200)
     assert 150 < mix.agg({"n_tokens": "sum"}).first()[0] <= 200
+
+
+def true_pairs(x, floor, k=10):
+    """Pairs of rows with a cosine of ``floor`` or more of which one is among the other's k most similar."""
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return {(min(i, int(j)), max(i, int(j))) for i, row in enumerate(near) for j in row if s[i, j] >= floor}
+
+
+def test_crowd_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4500, 64)).astype(np.float32)
+    x[:1500] = x[0] + 0.2 * rng.normal(size=(1500, 64))  # cosines of about 0.96
+    x[4400:] = x[4300:4400] + 0.1 * rng.normal(size=(100, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, e array<float>")
+    want = true_pairs(x, 0.94)
+    got = {(min(r["query"], r["neighbour"]), max(r["query"], r["neighbour"])) for r in knn.neighbours(df, "id", "e", k=10, floor=0.94).collect()}
+    assert len(want) > 9000 and got == want
+
+
+def test_compared_in_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 64)).astype(np.float32)
+    x[200:400] = x[200] + 0.2 * rng.normal(size=(200, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "rep long, e array<float>")
+    for floor in (-2.0, 0.94):
+        pairs = knn.compared(df, df, 3, floor, step=(50, 90)).collect()
+        best = {}
+        for r in pairs:
+            best.setdefault(r["q"], []).append((-r["similarity"], r["t"]))
+        got = {(min(q, t), max(q, t)) for q, near in best.items() for _, t in sorted(near)[:3]}
+        assert got == true_pairs(x, floor, 3)
