@@ -368,5 +368,5 @@ def found(vector_drafts: DataFrame) -> DataFrame:
 
 def most_similar(vector_drafts: DataFrame) -> DataFrame:
     """The 10 most similar of every draft whose id is divisible by 20, against all drafts."""
-    near = neighbours(drafts(vector_drafts), "draft_id", "embedding", k=10, files=8, prefix=8, rerank=2000, per_pivot=28, asked=F.col("id") % 20 == 0)
+    near = neighbours(drafts(vector_drafts), "draft_id", "embedding", k=10, asked=F.col("id") % 20 == 0)
     return near.select("query", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))

@@ -96,3 +96,14 @@ def test_compared_in_many_blocks(spark):
             best.setdefault(r["q"], []).append((-r["similarity"], r["t"]))
         got = {(min(q, t), max(q, t)) for q, near in best.items() for _, t in sorted(near)[:3]}
         assert got == true_pairs(x, floor, 3)
+
+
+def test_most_similar_of_random_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(5000, 64)).astype(np.float32)
+    schema = "draft_id long, modal_features struct<vector: struct<dim int, embedding array<float>>>"
+    df = spark.createDataFrame([(i, ((64, [float(v) for v in r]),)) for i, r in enumerate(x)], schema)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u[::20] @ u.T
+    s[np.arange(250), np.arange(0, 5000, 20)] = -9
+    want = {(20 * i, int(j), n + 1) for i, row in enumerate(np.argsort(-s, axis=1)[:, :10]) for n, j in enumerate(row)}
+    assert {(r["query"], r["neighbour"], r["rank"]) for r in knn.most_similar(df).collect()} == want
