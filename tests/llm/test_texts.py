@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sheafline.llm import emails, leaks, lookalike, neardup, ocr, transcripts
 
 
@@ -150,3 +152,40 @@ def test_packed_marks():
     for n in (0, 1, 2, 7):
         v = np.arange(4090, 4090 + n).astype(np.uint16) % 4096
         assert (neardup.unpack12(neardup.pack12(v), n) == v).all()
+
+
+def family(n, words, edited, seed):
+    """Copies of one text of which each has its own words in a share of the places."""
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"own{i}x{j}" if e else f"word{j}" for j, e in enumerate(rng.random(words) < edited)) for i in range(n)]
+
+
+def test_large_families_of_edited_copies(spark):
+    # Dice of about 0.64 between chunks, Jaccard of about 0.82 between documents
+    for words, length, edited, threshold, dice in ((3, 200, 0.07, 0.5, True), (5, 1000, 0.01, 0.8, False)):
+        texts = family(300, length, edited, 5)
+        sets = [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} for w in (t.split() for t in texts)]
+        want = set()
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(a & sets[j])
+                if (2 * both / (len(a) + len(sets[j])) if dice else both / (len(a) + len(sets[j]) - both)) >= threshold:
+                    want.add((j, i))
+        df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+        members, links = neardup.similar_classes(df, "k", "t", words, threshold, dice=dice)
+        of = {r["class"]: r["key"] for r in members.collect()}
+        got = {tuple(sorted((of[r["class_a"]], of[r["class_b"]]))) for r in links.select("class_a", "class_b").collect()}
+        print(words, len(want), len(got & want) / len(want))
+        assert got <= want and len(got) / len(want) >= 0.97
+
+
+def test_long_lists_by_a_second_value(spark):
+    rng = np.random.default_rng(8)
+    common = [" ".join(f"phrase{i}w{j}" for j in range(4)) for i in range(12)]
+    rows = [(i, " ".join(x for j in rng.permutation(12)[:5] for x in (common[j], f"own{i}x{j}"))) for i in range(400)]
+    rows += [(400 + i, common[i % 12] + f" tail{i}") for i in range(30)]  # few values
+    sets = neardup.shingle_sets(spark.createDataFrame(rows, "k long, t string"), "k", "t", 3, 3).cache()
+    entries = neardup.postings(sets.select("home", "shingles"), neardup.bucket_counts(sets, 12), 20, 2.0, 12, 8)
+    for need in (2, 3, 6):
+        pairs = {tuple(r) for r in neardup.meetings(entries, need).collect()}
+        assert pairs and pairs == {tuple(r) for r in neardup.meetings(entries, need, long=10**9).collect()}
