@@ -86,6 +86,15 @@ def transcript_chunks(segments: DataFrame, target: int = 384, most: int = 512) -
     return segments.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInPandas(run, schema)
 
 
+def with_overlap(bundled: DataFrame, most: int = 512) -> DataFrame:
+    """The bundled segments, and each chunk's last segment in the next chunk too if both have ``most`` tokens or fewer."""
+    n = F.coalesce("n_tokens", F.lit(0))
+    by = bundled.groupBy("doc_id", "chunk_no").agg(F.sum(n).alias("_held"), F.max_by(F.struct(*bundled.columns), "seq").alias("_tail"))
+    tails = by.select("doc_id", (F.col("chunk_no") + 1).alias("chunk_no"), "_tail")
+    fit = by.select("doc_id", "chunk_no", "_held").join(tails, ["doc_id", "chunk_no"]).where(F.col("_held") + F.coalesce("_tail.n_tokens", F.lit(0)) <= most)
+    return bundled.unionByName(fit.select(*[F.col(c) if c == "chunk_no" else F.col("_tail")[c].alias(c) for c in bundled.columns]))
+
+
 def chunk_summary(bundled: DataFrame) -> DataFrame:
     """doc_id, chunk_no, start, end, n_segments, n_tokens and the dominant speaker (most segments, first seen on ties).
 

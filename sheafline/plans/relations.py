@@ -45,6 +45,10 @@ def _bundled(s: SparkSession, d: str) -> DataFrame:
     return media.chunk_summary(media.transcript_chunks(segments(s, d).drop("text")))
 
 
+def _overlapped(s: SparkSession, d: str) -> DataFrame:
+    return media.chunk_summary(media.with_overlap(media.transcript_chunks(segments(s, d).drop("text"))))
+
+
 def _replies(s: SparkSession, d: str) -> DataFrame:
     """Assistant messages whose stored citations are written into the text."""
     pages = F.regexp_extract_all(F.coalesce("citations", F.lit("")), F.lit(r'"page": ?(\d+)'), 1)
@@ -87,6 +91,7 @@ QUERIES = {
     "trailing_frames": lambda s, d: media.trailing_frames(_chunk_times(s, d), _frames(s, d)),
     "speaker_counts": lambda s, d: media.speaker_counts(segments(s, d)),
     "transcript_chunks": _bundled,
+    "transcript_overlap": _overlapped,
     "login_throttle": lambda s, d: throttle.refused(_events(s, d)).select("event_id", "refused"),
     "chunk_documents": lambda s, d: chunking.chunked(read(s, d, "documents")),
     "paginate_documents": lambda s, d: chunking.paginated(read(s, d, "documents")),

@@ -149,3 +149,11 @@ def test_library(spark):
     assert library.leave(members, 2, " AL@x ").count() == 2
     new = library.upsert(jobs, spark.createDataFrame([(2, 11, "n"), (9, None, "z")], jobs.schema), "job_id")
     assert {r["job_id"]: r["filename"] for r in new.collect()} == {1: "A.pdf", 2: "n", 3: "a.PDF", 9: "z"}
+
+
+def test_transcript_overlap(spark):
+    rows = [("d", i, float(i), i + 1.0, s, n) for i, (s, n) in enumerate([("A", 300), ("B", 100), ("C", 200), ("C", 200), ("A", 450), ("A", 10)])]
+    df = spark.createDataFrame(rows, "doc_id string, seq int, start double, end double, speaker string, n_tokens int")
+    bundled = media.with_overlap(media.transcript_chunks(df))
+    got = [tuple(r) for r in media.chunk_summary(bundled).orderBy("chunk_no").select("chunk_no", "start", "end", "n_segments", "n_tokens", "speaker").collect()]
+    assert got == [(0, 0.0, 2.0, 2, 400, "A"), (1, 1.0, 4.0, 3, 500, "C"), (2, 4.0, 5.0, 1, 450, "A"), (3, 4.0, 6.0, 2, 460, "A")]
