@@ -76,7 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": lambda s, d: knn.found(read(s, d, "vector_drafts")),
         "p2_most_similar": lambda s, d: knn.most_similar(read(s, d, "vector_drafts")),
         "p3_found": lambda s, d: conversations.found(read(s, d, "conversation_messages")),
+        "p3_conversations": lambda s, d: conversations.conversations(read(s, d, "conversation_messages")),
         "p4_found": lambda s, d: transcripts.found(read(s, d, "transcript_drafts")),
+        "p4_turns": lambda s, d: transcripts.turns(read(s, d, "transcript_drafts")),
         "p6_found": lambda s, d: emails.found(read(s, d, "mail_chunks")),
         "p7_found": lambda s, d: ocr.found(read(s, d, "ocr_words"), read(s, d, "known_words")),
         "p7_paragraphs": lambda s, d: ocr.repaired_paragraphs(read(s, d, "ocr_regions"), read(s, d, "known_words")),
