@@ -30,6 +30,64 @@ STRIPES = "record long, key string, depth int, ord int, rep int, def int, node_i
 _INT = re.compile(r"-?\d+(?:\.\d+)?")
 
 
+def loads(text: str) -> object:
+    """``json.loads`` at any depth."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _loads_deep(text)
+
+
+def _loads_deep(text: str) -> object:
+    """Decodes with a stack of open lists and objects; scalars are left to ``json``."""
+    scalar, blanks = json.JSONDecoder().raw_decode, re.compile(r"[ \t\n\r]*")
+
+    def skip(i: int) -> int:
+        return blanks.match(text, i).end()
+
+    def name(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("no name")
+        key, i = scalar(text, i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no colon")
+        return key, skip(i + 1)
+
+    stack: list[tuple] = []
+    i = skip(0)
+    while True:
+        if (c := text[i : i + 1]) and c in "{[":
+            value, i = {} if c == "{" else [], skip(i + 1)
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                key, i = name(i) if c == "{" else (None, i)
+                stack.append((value, key))
+                continue
+            i += 1
+        else:
+            value, i = scalar(text, i)
+        while True:
+            i = skip(i)
+            if not stack:
+                if i != len(text):
+                    raise ValueError("more than one value")
+                return value
+            box, key = stack.pop()
+            if isinstance(box, dict):
+                box[key] = value
+            else:
+                box.append(value)
+            c = text[i : i + 1]
+            if c == ",":
+                i = skip(i + 1)
+                key, i = name(i) if isinstance(box, dict) else (None, i)
+                stack.append((box, key))
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError("not closed")
+            value, i = box, i + 1
+
+
 def box_text(value: object) -> str:
     """``x1,y1,x2,y2`` of a box given as list, object or string; empty if it has no four numbers.
 
@@ -39,7 +97,7 @@ def box_text(value: object) -> str:
         s = value.strip()
         if s[:1] in "[{":
             try:
-                return box_text(json.loads(s))
+                return box_text(loads(s))
             except ValueError:
                 pass
         value = _INT.findall(s)
@@ -57,7 +115,7 @@ def as_nodes(value: object) -> list:
     """A list of nodes given as list, one object, or JSON text of either."""
     if isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = loads(value)
         except ValueError:
             return []
     if isinstance(value, dict):
@@ -70,7 +128,7 @@ def find_root(payload: object) -> dict | None:
     for _ in range(8):
         if isinstance(payload, str):
             try:
-                payload = json.loads(payload)
+                payload = loads(payload)
             except ValueError:
                 return None
         if isinstance(payload, list):
@@ -91,8 +149,8 @@ def find_root(payload: object) -> dict | None:
 def stripes_of(text: str | None) -> list[tuple]:
     """(depth, ord, rep, def, node_id, node_type, title, page, box) of one payload; none if it isn't complete JSON."""
     try:
-        root = find_root(json.loads(text)) if text else None
-    except (ValueError, RecursionError):
+        root = find_root(loads(text)) if text else None
+    except ValueError:
         return []
     if root is None:
         return []

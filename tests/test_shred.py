@@ -63,3 +63,17 @@ def test_deep_and_empty(spark):
     df = spark.createDataFrame([("d", payload(tree), "clash")], "doc_id string, payload string, depth string")
     assert shred.found(df).count() == 200
     assert shred.found(df.limit(0)).collect() == []
+
+
+def test_ten_thousand_nested_nodes():
+    import json
+
+    from sheafline.operators import shred
+
+    n = 10_000
+    text = '{"root": ' + "".join(f'{{"id": "n{i}", "type": "x", "children": [' for i in range(n)) + "]}" * n + "}"
+    ids = [x[4] for x in shred.stripes_of(text) if x[4]]
+    assert ids == [f"n{i}" for i in range(n)]
+    assert shred.stripes_of(text[:-1]) == [] and shred.stripes_of(text + "]") == []
+    for t in ('{"a": [1, -2.5e3, "x\\n\\u00e4", null, true, {}, [], {"b": [[]]}]}', ' [ ] ', '"s"', "7"):
+        assert shred._loads_deep(t) == json.loads(t)
