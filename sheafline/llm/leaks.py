@@ -29,7 +29,7 @@ BITS = 8
 FILTER_KEYS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _MASK = (1 << 64) - 1
 
 
