@@ -36,7 +36,7 @@ HESITATION = r"(?i)^[^\p{L}\p{N}]*(?:u+h+|u+h*m+|e+r+m*|e+h+m*|a+h+|h+m+|m+h*m*|
 
 
 def speaker_name(number: Column) -> Column:
-    return F.when(number.isNotNull(), F.concat(F.lit("SPEAKER_"), F.lpad(number.cast("string"), 2, "0")))
+    return F.when(number.isNotNull(), F.format_string("SPEAKER_%02d", number))
 
 
 def spoken_words(line: Column) -> Column:

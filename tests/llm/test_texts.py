@@ -189,3 +189,14 @@ def test_long_lists_by_a_second_value(spark):
     for need in (2, 3, 6):
         pairs = {tuple(r) for r in neardup.meetings(entries, need).collect()}
         assert pairs and pairs == {tuple(r) for r in neardup.meetings(entries, need, long=10**9).collect()}
+
+
+def test_speakers_of_three_digits(spark):
+    rows = [(1, "d", "Speaker 10: hello there\nSpeaker 100: good day\nSpeaker 3: bye now", ((0.0, 1.0, None),))]
+    drafts = spark.createDataFrame(rows, "draft_id long, doc_id string, text string, modal_features struct<audio_segment: struct<start_s double, end_s double, speaker string>>")
+    assert [r["speaker"] for r in transcripts.found(drafts).orderBy("turn").collect()] == ["SPEAKER_10", "SPEAKER_100", "SPEAKER_03"]
+
+
+def test_long_tags_are_no_words():
+    tag = '<a href="https://example.org/' + "long/" * 80 + '">'
+    assert leaks.words_of(f"one {tag}two</a> three", {}) == ["one", "two", "three"]
