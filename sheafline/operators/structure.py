@@ -18,15 +18,10 @@ def positions(rows: DataFrame, keys: list[str], order: list[str], name: str = "p
 
 
 def neighbour_links(chunks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, chunk_id, preceding_chunk_id, following_chunk_id in document order.
-
-    Neighbours meet by (document, place) in equi-joins, so a document of any size is
-    spread over all tasks.
-    """
-    p = positions(chunks.select("doc_id", "chunk_index", "chunk_id"), ["doc_id"], ["chunk_index", "chunk_id"], hot_rows=hot_rows)
-    before = p.select("doc_id", (F.col("position") + 1).alias("position"), F.col("chunk_id").alias("preceding_chunk_id"))
-    after = p.select("doc_id", (F.col("position") - 1).alias("position"), F.col("chunk_id").alias("following_chunk_id"))
-    return p.join(before, ["doc_id", "position"], "left").join(after, ["doc_id", "position"], "left").select("doc_id", "chunk_id", "preceding_chunk_id", "following_chunk_id")
+    """doc_id, chunk_id, preceding_chunk_id, following_chunk_id in document order."""
+    slim, own = chunks.select("doc_id", "chunk_index", "chunk_id"), F.struct("chunk_id")
+    p = ordered_scan(slim, ["doc_id"], ["chunk_index", "chunk_id"], prevs={"_before": own}, nexts={"_after": own}, hot_rows=hot_rows)
+    return p.select("doc_id", "chunk_id", F.col("_before.chunk_id").alias("preceding_chunk_id"), F.col("_after.chunk_id").alias("following_chunk_id"))
 
 
 def section_path_of(heading: Column) -> Column:
@@ -42,11 +37,9 @@ def carried_sections(regions: DataFrame, order: list[str], hot_rows: int = HOT_R
     """
     heading = F.coalesce(F.col("label") == "heading", F.lit(False))
     rows = regions.withColumn("_heading", heading)
-    rows = ordered_scan(
-        rows, ["doc_id"], order, sums={"_at": F.lit(1).cast("long")}, lasts={"section_path": F.when(F.col("_heading"), section_path_of(F.coalesce("text", F.lit(""))))}, hot_rows=hot_rows
-    )
-    nxt = rows.select("doc_id", (F.col("_at") - 1).alias("_at"), F.col("_heading").alias("_next"))
-    return rows.join(nxt, ["doc_id", "_at"], "left").select(*regions.columns, F.coalesce("section_path", F.lit("")).alias("section_path"), F.col("_heading").alias("is_first"), F.coalesce("_next", F.lit(True)).alias("is_last"))
+    path = F.when(F.col("_heading"), section_path_of(F.coalesce("text", F.lit(""))))
+    rows = ordered_scan(rows, ["doc_id"], order, lasts={"section_path": path}, nexts={"_next": F.struct("_heading")}, hot_rows=hot_rows)
+    return rows.select(*regions.columns, F.coalesce("section_path", F.lit("")).alias("section_path"), F.col("_heading").alias("is_first"), F.coalesce("_next._heading", F.lit(True)).alias("is_last"))
 
 
 def section_runs(chunks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sheafline.operators.ordered import ordered_scan
+from sheafline.operators.ordered import ordered_scan, with_run
 
 
 def fold(rows):
@@ -28,5 +28,15 @@ def test_plain_and_hot(spark):
     check(spark, rows, 40)
 
 
+def test_equal_and_null_first_columns_are_cut(spark):
+    rows = [("a", None if i % 2 else 7, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, at long, no long")
+    scan = lambda hot: ordered_scan(df, ["k"], ["at", "no"], sums={"s": F.lit(1)}, nexts={"n": F.struct("no")}, hot_rows=hot)
+    want = {r["no"]: (r["s"], r["n"]) for r in scan(10**6).collect()}
+    assert want == {r["no"]: (r["s"], r["n"]) for r in scan(50).collect()}
+    runs, hot = with_run(df, ["k"], ["at", "no"], 50)
+    assert hot and runs.groupBy("_run").count().agg(F.max("count")).first()[0] < 150
+
+
 def test_empty(spark):
     assert ordered_scan(spark.createDataFrame([], "k string, at long"), ["k"], ["at"], sums={"s": F.lit(1)}).collect() == []
