@@ -235,7 +235,8 @@ def test_union_sketch(spark):
                     want.add((a, b))
     entries = neardup.postings(spark.createDataFrame(sets, "key long, class long, home int, shingles array<int>"), flat, k, 2.0, 1 / 3, 8)
     got = {tuple(r) for r in neardup.meetings(entries, 1 / 3, k).collect()}
-    assert want and got == want
+    # two marks of 12 bits can be alike by chance
+    assert want and want <= got and len(got) < 1.03 * len(want)
 
 
 def test_speakers_of_three_digits(spark):
