@@ -2,8 +2,8 @@
 
 Windows of words are embedded by the CGK random walk, which turns edit distance
 into Hamming distance; repeated bit sampling of the embedding gives LSH keys, by
-which document windows meet item windows; the words around each meeting are then
-compared one by one.
+which document windows meet item windows. Around each meeting the words are then
+aligned: the longest run in common and a banded edit distance decide.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ from pyspark.sql import functions as F
 from sheafline.llm.lookalike import INVISIBLE, letter_table
 from sheafline.session import materialize
 
-#: Consecutive words in common that make a leak; words of a window; repetitions; bits sampled by each.
+#: Consecutive words in common that make a leak, and the edits that a passage of so many words may have.
 MIN_WORDS = 20
-WINDOW = 12
-REPEATS = 3
-BITS = 8
-#: Item keys are sent to the tasks as a filter up to this many (8 bytes each); beyond, the join alone does it.
-FILTER_KEYS = 2_000_000
+MAX_EDITS = 3
+#: Words of a window, and how far apart a document's windows begin: a passage of MIN_WORDS holds three or more.
+WINDOW = 10
+STRIDE = 3
+#: Repetitions, and positions of the embedding sampled by each.
+REPEATS = 4
+BITS = 4
+#: Bits of the map of item keys by which tasks drop windows that meet nothing; its size doesn't follow the data.
+FILTER_BITS = 26
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
@@ -60,28 +64,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def windows(h: np.ndarray, window: int) -> np.ndarray:
-    """A hash of every window; 0 marks a gap, and windows over a gap get the largest value."""
-    n = len(h) - window + 1
-    out, gap = np.zeros(n, np.uint64), np.zeros(n, bool)
-    for k in range(window):
-        part = h[k : k + n]
-        out = out * np.uint64(0x9E3779B97F4A7C15) + part
-        gap |= part == 0
-    out = _mix(out)
-    out[gap] = np.uint64(_MASK)
-    return out
-
-
-def winnow(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Places of the least hash in every ``span`` windows in a row: any such span has one, alike in all texts."""
-    if len(hashes) < span:
-        return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(axis=1) + np.arange(len(hashes) - span + 1)
-    places = least[np.append(True, least[1:] != least[:-1])]  # they never go back
-    return places[hashes[places] != np.uint64(_MASK)]
-
-
 def cgk_keys(h: np.ndarray, places: np.ndarray, window: int, repeats: int, bits: int, seed: int = 11) -> np.ndarray:
     """LSH keys (places x repeats) of the windows' CGK embeddings.
 
@@ -108,80 +90,124 @@ def cgk_keys(h: np.ndarray, places: np.ndarray, window: int, repeats: int, bits:
     return keys
 
 
-def window_keys(texts: DataFrame, key: str, every: bool, only: np.ndarray | None = None, min_words: int = MIN_WORDS, window: int = WINDOW, repeats: int = REPEATS, bits: int = BITS) -> DataFrame:
-    """One row (id, key, around) per window and repetition; around: hashes of the words that a shared run could cover.
+def key_map(keys: DataFrame) -> np.ndarray:
+    """2^FILTER_BITS bits, those of the keys set. A row per 64 bits reaches the driver, so their number is bounded."""
+    slot = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def window_keys(texts: DataFrame, key: str, stride: int, known: np.ndarray | None = None, min_words: int = MIN_WORDS, window: int = WINDOW, repeats: int = REPEATS, bits: int = BITS) -> DataFrame:
+    """One row (id, key, around) per window and repetition; around: hashes of the words that an alignment could cover.
 
-    Of documents the winnowed windows are taken: a run of ``min_words`` words holds
-    min_words - window + 1 windows in a row, of which one is always kept; of items
-    every window. ``only`` keeps the rows whose key is in it (sorted).
+    Windows begin ``stride`` words apart in each text. ``known`` is a map of keys; windows none of whose keys are in it are left out.
     """
-    side = min_words - window
+    side = min_words - window + MAX_EDITS
+    share = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters, known = _letters(), {}
+        letters, seen = _letters(), {}
         for pdf in batches:
             flat: list[int] = []
-            starts, ids = [], []
+            starts, sizes, ids = [], [], []
             for i, t in zip(pdf["id"], pdf["text"]):
                 w = words_of(t, letters)
                 if len(w) < min_words:
                     continue
-                flat.extend([0] * min_words)
+                flat.extend([0] * side)
                 starts.append(len(flat))
+                sizes.append(len(w))
                 ids.append(i)
                 for x in w:
-                    v = known.get(x)
+                    v = seen.get(x)
                     if v is None:
-                        v = known[x] = word_hash(x)
+                        v = seen[x] = word_hash(x)
                     flat.append(v)
-            if len(known) > 2_000_000:
-                known.clear()
+            if len(seen) > 2_000_000:
+                seen.clear()
             if not ids:
                 continue
-            flat.extend([0] * min_words)
+            flat.extend([0] * (side + window))
             h = np.array(flat, np.uint64)
-            hashes = windows(h, window)
-            places = np.flatnonzero(hashes != np.uint64(_MASK)) if every else winnow(hashes, side + 1)
+            n = (np.array(sizes) - window) // stride + 1
+            owner = np.repeat(np.arange(len(ids)), n)
+            places = np.array(starts)[owner] + stride * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
             keys = cgk_keys(h, places, window, repeats, bits)
-            at = np.repeat(places, repeats)
-            keys = keys.ravel().view(np.int64)
-            if only is not None and len(keys):
-                near = np.minimum(np.searchsorted(only, keys), len(only) - 1)
-                kept = only[near] == keys
-                at, keys = at[kept], keys[kept]
-            owner = np.searchsorted(np.array(starts), at, side="right") - 1
-            ids_ = pd.Series(ids)
+            if share is not None:
+                slot = keys & np.uint64((1 << FILTER_BITS) - 1)
+                row, column = np.nonzero((share.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+            else:
+                row, column = np.divmod(np.arange(keys.size), repeats)
             signed = h.view(np.int64)
-            yield pd.DataFrame({"id": ids_.iloc[owner].to_numpy(), "key": keys, "around": pd.Series([signed[p - side : p + window + side] for p in at], dtype=object)})
+            at = places[row]
+            yield pd.DataFrame({"id": pd.Series(ids).iloc[owner[row]].to_numpy(), "key": keys[row, column].view(np.int64), "around": pd.Series([signed[p - side : p + window + side] for p in at], dtype=object)})
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(F.col(key).alias("id"), "text").where("text is not null").mapInPandas(run, f"id {kind}, key long, around array<long>")
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, filter_keys: int = FILTER_KEYS) -> DataFrame:
-    """doc_id and item_id of documents and items with ``min_words`` or more consecutive words in common.
+def longest_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The longest run of equal words at equal places, row by row; 0 stands for no word."""
+    run, best = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for j in range(a.shape[1]):
+        run = np.where((a[:, j] == b[:, j]) & (a[:, j] != 0), run + 1, 0)
+        best = np.maximum(best, run)
+    return best
+
 
-    Each pair once. Null, blank and shorter texts match nothing. Item keys are
-    collected as a filter for the tasks only if they are at most ``filter_keys``.
+def edit_distance(passage: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The least word edits that turn each passage into a part of its text, which is 2 x MAX_EDITS words longer.
+
+    Banded: the part may begin, and the alignment drift, up to MAX_EDITS words to either side.
+    """
+    band = text.shape[1] - passage.shape[1] + 1
+    last = np.zeros((len(passage), band), np.int64)
+    for i in range(passage.shape[1]):
+        word = passage[:, i]
+        now = last + ((text[:, i : i + band] != word[:, None]) | (word == 0)[:, None])
+        now[:, :-1] = np.minimum(now[:, :-1], last[:, 1:] + 1)
+        for d in range(1, band):
+            now[:, d] = np.minimum(now[:, d], now[:, d - 1] + 1)
+        last = now
+    return last.min(axis=1)
+
+
+def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS) -> DataFrame:
+    """doc_id, item_id, run, edits of documents that hold a passage of an item, as it stands or edited.
+
+    run: the longest run of words in common around a meeting of windows (min_words
+    or more where the passage stands unchanged); edits: the least word edits between
+    ``min_words`` words of the item and a part of the document. A pair is listed if the
+    run is ``min_words`` or more, which no pair escapes, or the edits are ``max_edits``
+    or fewer (found with the recall of the sampling). Each pair once. Null, blank and
+    shorter texts match nothing.
     """
-    asked = materialize(window_keys(items, "item_id", every=True, min_words=min_words).withColumnRenamed("id", "item_id"))
-    only = None
-    if asked.count() <= filter_keys:
-        only = np.sort(np.array([r["key"] for r in asked.select("key").distinct().collect()], np.int64))
-        if not len(only):
-            only = np.array([0], np.int64)
-    met = window_keys(documents, "doc_id", every=False, only=only, min_words=min_words).withColumnRenamed("id", "doc_id")
-    pairs = met.withColumnRenamed("around", "a").join(asked.withColumnRenamed("around", "b"), "key")
-    same = F.zip_with("a", "b", lambda x, y: (x == y) & (x != 0))
-    longest = F.aggregate(
-        same,
-        F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")),
-        lambda s, x: F.struct(F.when(x, s["run"] + 1).otherwise(0).alias("run"), F.when(x, F.greatest(s["best"], s["run"] + 1)).otherwise(s["best"]).alias("best")),
-        lambda s: s["best"],
-    )
-    return pairs.where(longest >= min_words).select("doc_id", "item_id").distinct()
+    asked = materialize(window_keys(items, "item_id", 1, min_words=min_words).withColumnRenamed("id", "item_id"))
+    met = window_keys(documents, "doc_id", STRIDE, known=key_map(asked.select("key")), min_words=min_words).withColumnRenamed("id", "doc_id")
+    pairs = met.withColumnRenamed("around", "a").join(asked.withColumnRenamed("around", "b"), "key").select("doc_id", "item_id", "a", "b")
+    slack = min_words - WINDOW
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            a, b = np.stack(pdf["a"].tolist()), np.stack(pdf["b"].tolist())
+            edits = np.full(len(a), min_words, np.int64)
+            for d in range(slack + 1):  # every passage of the item that holds the window
+                at = MAX_EDITS + d
+                part = b[:, at : at + min_words]
+                got = edit_distance(part, a[:, at - MAX_EDITS : at + min_words + MAX_EDITS])
+                edits = np.minimum(edits, np.where((part != 0).all(axis=1), got, min_words))
+            out = pdf[["doc_id", "item_id"]].assign(run=longest_run(a, b), edits=edits)
+            yield out.groupby(["doc_id", "item_id"], as_index=False).agg({"run": "max", "edits": "min"})
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("doc_id", "item_id"))
+    each = pairs.mapInPandas(verify, f"{kinds}, run long, edits long").groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
+    return each.where((F.col("run") >= min_words) | (F.col("edits") <= max_edits))
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """p8_found."""
-    return leaks(documents, items)
+    """p8_found: pairs with ``MIN_WORDS`` or more consecutive words in common."""
+    return leaks(documents, items).where(F.col("run") >= MIN_WORDS).select("doc_id", "item_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheafline.llm import conversations, emails, knn, leaks, lookalike, mixture, neardup, ocr, transcripts
 from sheafline.session import read
@@ -77,12 +78,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_most_similar": lambda s, d: knn.most_similar(read(s, d, "vector_drafts")),
         "p3_found": lambda s, d: conversations.found(read(s, d, "conversation_messages")),
         "p3_conversations": lambda s, d: conversations.conversations(read(s, d, "conversation_messages")),
+        "p3_threads": lambda s, d: conversations.threads(read(s, d, "conversation_messages"), F.coalesce(F.col("conversation_id").cast("string"), F.col("sender_email"))),
         "p4_found": lambda s, d: transcripts.found(read(s, d, "transcript_drafts")),
         "p4_turns": lambda s, d: transcripts.turns(read(s, d, "transcript_drafts")),
         "p6_found": lambda s, d: emails.found(read(s, d, "mail_chunks")),
         "p7_found": lambda s, d: ocr.found(read(s, d, "ocr_words"), read(s, d, "known_words")),
         "p7_paragraphs": lambda s, d: ocr.repaired_paragraphs(read(s, d, "ocr_regions"), read(s, d, "known_words")),
         "p8_found": lambda s, d: leaks.found(read(s, d, "documents"), read(s, d, "eval_items")),
+        "p8_leaks": lambda s, d: leaks.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
         "p9_mixture": lambda s, d: mixture.mixture(read(s, d, "documents"), read(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixture.shares(mixture.mixture(read(s, d, "documents"), read(s, d, "mix_targets")), read(s, d, "mix_targets")),
         "p10_found": lambda s, d: lookalike.found(read(s, d, "documents")),

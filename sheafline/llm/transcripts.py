@@ -1,8 +1,9 @@
 """Speech transcripts into clean, ordered speaker turns.
 
 Lines are cut from the drafts, their labels, marks, notes and fillers told apart
-on the JVM side, speakers normalised and carried forward, and a gradient-boosted
-classifier decides for each pair of adjacent lines whether a new turn begins.
+on the JVM side, speakers normalised and carried forward. Where adjacent lines name
+their speakers, the names tell whether a new turn begins; where they don't, a
+gradient-boosted classifier, fitted on pairs that do, decides it from gaps and context.
 """
 
 from __future__ import annotations
@@ -83,26 +84,30 @@ def pairs_of(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.array_join("words", " ").alias("said"),
     )
-    before = F.struct("draft_id", "end_s", "own_no", "speaker", "n_words", F.col("said").rlike(r"[.!?…]\W*$").alias("ended"))
+    ended, asked = F.col("said").rlike(r"[.!?…]\W*$"), F.col("said").rlike(r"[?]\W*$")
+    before = F.struct("draft_id", "end_s", "own_no", "speaker", "n_words", ended.alias("ended"), asked.alias("asked"))
     p = ordered_scan(spoken, ["doc_id"], ["at", "draft_id", "line_no"], prevs={"before": before}, hot_rows=hot_rows, counted=lines.select("doc_id"))
     same_draft = F.coalesce(F.col("before.draft_id") == F.col("draft_id"), F.lit(False))
+    gap = F.when(same_draft, 0.0).otherwise(F.coalesce(F.least(F.greatest(F.col("start_s") - F.col("before.end_s"), F.lit(-5.0)), F.lit(60.0)), F.lit(0.0)))
     return p.select(
         *spoken.columns,
         F.col("before").isNull().alias("first"),
         F.coalesce(F.col("before.speaker") != F.col("speaker"), F.lit(True)).alias("differs"),
+        ((F.col("speaker") == "UNKNOWN") & F.coalesce(F.col("before.speaker") == "UNKNOWN", F.lit(False))).alias("unnamed"),
         (F.col("own_no").isNotNull() & F.col("before.own_no").isNotNull()).alias("labelled"),
         F.coalesce((F.col("own_no") != F.col("before.own_no")).cast("double"), F.lit(0.0)).alias("label"),
-        F.col("own_no").isNotNull().cast("double").alias("f_own"),
-        F.coalesce(F.col("before.speaker") != F.col("speaker"), F.lit(True)).cast("double").alias("f_differs"),
         same_draft.cast("double").alias("f_same_draft"),
-        F.when(same_draft, 0.0).otherwise(F.coalesce(F.least(F.greatest(F.col("start_s") - F.col("before.end_s"), F.lit(-5.0)), F.lit(60.0)), F.lit(0.0))).alias("f_gap"),
+        gap.alias("f_gap"),
         F.coalesce(F.col("before.ended").cast("double"), F.lit(1.0)).alias("f_ended"),
+        F.coalesce(F.col("before.asked").cast("double"), F.lit(0.0)).alias("f_asked"),
+        F.col("said").rlike(r"^\W*\p{Lu}").cast("double").alias("f_capital"),
         F.least(F.col("n_words"), F.lit(200)).cast("double").alias("f_words"),
         F.least(F.coalesce(F.col("before.n_words"), F.lit(0)), F.lit(200)).cast("double").alias("f_words_before"),
     )
 
 
-FEATURES = ["f_own", "f_differs", "f_same_draft", "f_gap", "f_ended", "f_words", "f_words_before"]
+#: What is known of a pair of lines whether or not they carry labels.
+FEATURES = ["f_same_draft", "f_gap", "f_ended", "f_asked", "f_capital", "f_words", "f_words_before"]
 
 
 def boundaries(pairs: DataFrame, sample: int = SAMPLE_PAIRS) -> DataFrame:
@@ -110,13 +115,13 @@ def boundaries(pairs: DataFrame, sample: int = SAMPLE_PAIRS) -> DataFrame:
 
     Fitted on at most ``sample`` adjacent pairs that both carry a label of their
     own (target: the labels differ), taken in order of a hash of their key; then
-    used for all pairs. With fewer than 20 such pairs or one class only, the
-    carried speakers decide. The first line of a recording begins a turn.
+    used for all pairs. With fewer than 20 such pairs or one class only, a pair
+    within one draft is one turn and others aren't. The first line of a recording begins a turn.
     """
     train = pairs.where("labelled and not first").orderBy(F.xxhash64("draft_id", "line_no")).limit(sample).select("label", *FEATURES)
     rows = train.collect()
     if len(rows) < 20 or len({r["label"] for r in rows}) < 2:
-        return pairs.withColumn("boundary", F.col("differs") | F.col("first"))
+        return pairs.withColumn("boundary", (F.col("f_same_draft") == 0) | F.col("first"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     data = pairs.sparkSession.createDataFrame(rows).coalesce(1)
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=5, maxDepth=3, seed=7).fit(assembler.transform(data))
@@ -125,18 +130,26 @@ def boundaries(pairs: DataFrame, sample: int = SAMPLE_PAIRS) -> DataFrame:
 
 
 def turns(drafts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every spoken line in its turn: doc_id, turn (from 1), speaker, draft_id, line_no, at, n_words, said.
+    """Every spoken line in its turn: doc_id, turn (from 1), speaker, draft_id, line_no, at, n_words, said, boundary.
 
-    After the classifier, an exact check holds each turn to one named speaker and
-    joins neighbours of one speaker. Recordings without words give no rows.
+    A turn begins where the named speaker changes and, between lines that name none,
+    where the classifier says so. Recordings without words give no rows.
     """
     pairs = materialize(pairs_of(lines_of(drafts), hot_rows))
-    proposed = F.col("boundary") | F.col("differs")
-    checked = boundaries(pairs).withColumn("new", (F.col("first") | (proposed & F.col("differs"))).cast("long"))
-    placed = ordered_scan(checked, ["doc_id"], ["at", "draft_id", "line_no"], sums={"turn": F.col("new")}, hot_rows=hot_rows)
+    cut = F.col("first") | F.col("differs") | (F.col("unnamed") & F.col("boundary"))
+    placed = ordered_scan(boundaries(pairs).withColumn("new", cut.cast("long")), ["doc_id"], ["at", "draft_id", "line_no"], sums={"turn": F.col("new")}, hot_rows=hot_rows, counted=pairs)
     return placed.select("doc_id", "turn", "speaker", "draft_id", "line_no", "start_s", "end_s", "n_words", "said", "boundary")
 
 
-def found(drafts: DataFrame) -> DataFrame:
-    """p4_found: every turn with its speaker and number of words."""
-    return turns(drafts).groupBy("doc_id", "turn").agg(F.first("speaker").alias("speaker"), F.sum("n_words").alias("n_words"))
+def stated(turn: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, turn, speaker, n_words: neighbouring turns of one speaker joined, those of unnamed ones too."""
+    each = turn.groupBy("doc_id", "turn").agg(F.first("speaker").alias("speaker"), F.sum("n_words").alias("n_words"))
+    each = ordered_scan(each, ["doc_id"], ["turn"], prevs={"before": F.struct("speaker")}, hot_rows=hot_rows)
+    new = F.coalesce((F.col("before.speaker") != F.col("speaker")).cast("long"), F.lit(1))
+    joined = ordered_scan(each.withColumn("new", new), ["doc_id"], ["turn"], sums={"no": F.col("new")}, hot_rows=hot_rows)
+    return joined.groupBy("doc_id", F.col("no").alias("turn")).agg(F.first("speaker").alias("speaker"), F.sum("n_words").alias("n_words"))
+
+
+def found(drafts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """p4_found: every turn with its speaker and number of words, as the stated rule joins them."""
+    return stated(materialize(turns(drafts, hot_rows).select("doc_id", "turn", "speaker", "n_words")), hot_rows)
