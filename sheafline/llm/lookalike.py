@@ -12,6 +12,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.operators.filters import maybe_among
+from sheafline.session import stored
+
 # Letters of other scripts and the Latin letters that they look like.
 CYRILLIC = ("аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅԌԚԜӀ", "aeopcyxijshdqwlABEKMHOPCTYXIJSGQWI")
 GREEK = ("οναιρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovaipuABEZHIKMNOPTYX")
@@ -81,12 +84,12 @@ def classes(documents: DataFrame) -> DataFrame:
     combines before the shuffle, so a third of all rows in one class is no hot
     task; the join back meets it by splitting.
     """
-    docs = documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}]"))
-    docs = docs.withColumn("mapped", one_form(F.col("text"))).withColumn("residue", residue(F.col("mapped")))
+    docs = documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\s\p{Z}\p{Cf}]") & F.col("doc_id").isNotNull())
     # texts that are alone in their residue, or have none but copies there, take no further part
-    stored = F.xxhash64("text")
-    shared = docs.groupBy("residue").agg(F.min(stored).alias("v1"), F.max(stored).alias("v2")).where("v1 <> v2").select("residue")
-    docs = docs.join(shared, "residue", "left_semi")
+    slim = stored(docs.select("doc_id", F.xxhash64("text").alias("stored"), residue(one_form(F.col("text"))).alias("residue")))
+    shared = slim.groupBy("residue").agg(F.min("stored").alias("v1"), F.max("stored").alias("v2")).where("v1 <> v2").select("residue")
+    needed = stored(slim.join(shared, "residue", "left_semi").select("doc_id").distinct())
+    docs = maybe_among(docs, F.col("doc_id"), needed).join(needed, "doc_id", "left_semi").withColumn("mapped", one_form(F.col("text")))
     docs = docs.select("doc_id", "mapped", F.md5(F.col("text").cast("binary")).alias("variant"), F.struct((F.col("mapped") != F.col("text")).alias("changed"), F.octet_length("text").alias("n"), "doc_id").alias("plainness"))
     docs = docs.withColumn("look", F.collate("mapped", "UNICODE")).drop("mapped")
     groups = docs.groupBy("look").agg(F.min("plainness").alias("best"), F.min("variant").alias("v1"), F.max("variant").alias("v2")).where("v1 <> v2")
@@ -109,7 +112,11 @@ def canonical(documents: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame) -> DataFrame:
     """p10_found: pairs of documents that look alike but are stored differently."""
-    c = classes(documents)
-    a = c.select(F.col("doc_id").alias("doc_a"), "class_id", F.col("variant").alias("va"))
-    b = c.select(F.col("doc_id").alias("doc_b"), "class_id", F.col("variant").alias("vb"))
-    return a.join(b, "class_id").where("doc_a < doc_b and va <> vb").select("doc_a", "doc_b")
+    c = stored(classes(documents))
+    # variants of a class meet, not its members: a thousand copies of one variant are one row here
+    each = c.select("class_id", "variant").distinct()
+    met = each.withColumnRenamed("variant", "va").join(each.withColumnRenamed("variant", "vb"), "class_id").where("va < vb")
+    a = c.select(F.col("doc_id").alias("x"), "class_id", F.col("variant").alias("va"))
+    b = c.select(F.col("doc_id").alias("y"), "class_id", F.col("variant").alias("vb"))
+    pairs = met.join(a, ["class_id", "va"]).join(b, ["class_id", "vb"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.operators.ordered import ordered_scan
 from sheafline.session import materialize
 
 #: Folder of public tokenizer files, and the rank file used.
@@ -22,9 +24,11 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed value: the public split pattern that belongs to the rank file.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a source's shuffled order, and the finish times, are cut into for prefix sums.
-BLOCKS = 1024
+#: Rows of a source, or of all finish times, from which on they are sorted by range into several tasks.
+RANGE_ROWS = 50_000
+#: Characters from which on a text is encoded in pieces, and where the split pattern always splits.
 _PIECE = 20_000
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
 #: Targets are sent to all tasks up to this many.
 TARGETS = 10_000
 
@@ -32,8 +36,9 @@ TARGETS = 10_000
 def token_counts(texts: DataFrame, column: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """Add n_tokens, the length of the column in tokens of a public byte-level BPE; null counts 0.
 
-    The tokenizer is read once per worker. Very long texts are encoded in pieces
-    that end at white space, which changes no token but at the seams.
+    The tokenizer is read once per worker. Very long texts are encoded in pieces cut
+    before a single space between two other characters, where the split pattern
+    begins a new part in any text, so no count changes.
     """
     schema = texts.drop(column).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
@@ -48,11 +53,9 @@ def token_counts(texts: DataFrame, column: str = "text", folder: str = TOKENIZER
             if not t:
                 return 0
             n, at = 0, 0
-            while len(t) - at > 2 * _PIECE:
-                cut = max(t.find(" ", at + _PIECE, at + 2 * _PIECE), -1)
-                cut = cut if cut > 0 else at + _PIECE
-                n += len(enc.encode_ordinary(t[at:cut]))
-                at = cut
+            while len(t) - at > 2 * _PIECE and (seam := _SEAM.search(t, at + _PIECE)):
+                n += len(enc.encode_ordinary(t[at : seam.start()]))
+                at = seam.start()
             return n + len(enc.encode_ordinary(t[at:] if at else t))
 
         for pdf in batches:
@@ -66,25 +69,17 @@ def plain_source(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, r"(?U)^\s+|\s+$", ""))
 
 
-def running_total(df: DataFrame, keys: list[str], block: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Running sum of ``value`` per key in (block, order), with one task per block instead of one per key."""
-    inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outer = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, block).agg(F.sum(value).alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(outer) if keys else F.sum("_s").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    return df.withColumn("_in", F.sum(value).over(inner)).join(F.broadcast(before) if not keys else before, [*keys, block]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
-
-
-def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, blocks: int = BLOCKS, folder: str = TOKENIZERS) -> DataFrame:
-    """The documents of the mixture: doc_id, source, epoch (from 1), n_tokens, finish.
+def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, range_rows: int = RANGE_ROWS, folder: str = TOKENIZERS) -> DataFrame:
+    """The documents of the mixture: doc_id, source, epoch (from 1), n_tokens, finish, position.
 
     Sources are compared without case and outer blanks; documents of null or
     unlisted sources, and those without tokens, take no part, and neither do
     targets whose share isn't over 0 or that have no documents (the others' shares
     are kept in proportion). A source is read at most ``max_repeats`` times, each time
     in another order. The total is the largest at which every source can reach its
-    share, or less if ``total`` says so. Documents are told by doc_id; equal ids
-    count as separate documents.
+    share, or less if ``total`` says so. All finish times are sorted by range and cut
+    where ``position``, the tokens up to and with a document, passes the total.
+    Documents are told by doc_id; equal ids count as separate documents.
     """
     goal = targets.select(plain_source(F.col("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("repeats")).where("target_share > 0 and repeats > 0")
     docs = token_counts(documents.select("doc_id", plain_source(F.col("source")).alias("source"), "text").where("source is not null and text is not null").select("doc_id", "source", "text"), folder=folder)
@@ -95,20 +90,19 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     supply = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.first("target_share").alias("share"), F.first("repeats").alias("repeats"), F.max("n_tokens").alias("largest"))
     limit = supply.agg(F.sum("share").alias("all"), F.min(F.col("tokens") * F.col("repeats") / F.col("share")).alias("least"), F.sum("largest").alias("jumps"), F.max("share").alias("top")).first()
     if limit["all"] is None:
-        return sized.select("doc_id", "source", F.lit(1).alias("epoch"), "n_tokens", F.lit(0.0).alias("finish"))
+        return sized.select("doc_id", "source", F.lit(1).alias("epoch"), "n_tokens", F.lit(0.0).alias("finish"), F.col("n_tokens").alias("position"))
     budget = limit["least"] * limit["all"]
     budget = float(budget if total is None else min(total, budget))
     copies = sized.select("doc_id", "source", "n_tokens", (F.col("target_share") / limit["all"]).alias("weight"), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("epoch"))
     draw = (F.xxhash64(F.lit(seed), "epoch", "doc_id").cast("double") + 2.0**63) / 2.0**64
-    copies = copies.withColumn("draw", F.col("epoch") + draw).withColumn("piece", F.floor(F.col("draw") * blocks))
-    queued = running_total(copies, ["source"], "piece", ["draw", "doc_id"], "n_tokens", "tokens").withColumn("finish", F.col("tokens") / F.col("weight"))
+    copies = copies.withColumn("draw", F.col("epoch") + draw)
+    queued = ordered_scan(copies, ["source"], ["draw", "doc_id"], sums={"tokens": F.col("n_tokens")}, hot_rows=range_rows).withColumn("finish", F.col("tokens") / F.col("weight"))
     # by this time the sources that aren't used up have filled the total, even if each has its largest document still open
     rest = 1.0 - limit["top"] / limit["all"]
     horizon = budget + limit["jumps"] / rest if rest > 1e-9 else float("inf")
-    width = max(min(horizon, 2 * budget), 1.0) / blocks
-    queued = queued.where(F.col("finish") <= horizon).withColumn("slot", F.floor(F.col("finish") / width))
-    ranked = running_total(queued.withColumn("_all", F.lit(0)), [], "slot", ["finish", "source", "epoch", "doc_id"], "n_tokens", "position")
-    return ranked.where(F.col("position") <= budget).select("doc_id", "source", "epoch", "n_tokens", "finish").orderBy("finish", "source", "epoch", "doc_id")
+    queued = queued.where(F.col("finish") <= horizon).select(F.lit(0).alias("all"), "doc_id", "source", "epoch", "n_tokens", "finish")
+    ranked = ordered_scan(queued, ["all"], ["finish", "source", "epoch", "doc_id"], sums={"position": F.col("n_tokens")}, hot_rows=range_rows)
+    return ranked.where(F.col("position") <= budget).drop("all")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:

@@ -107,3 +107,37 @@ def test_most_similar_of_random_vectors(spark):
     s[np.arange(250), np.arange(0, 5000, 20)] = -9
     want = {(20 * i, int(j), n + 1) for i, row in enumerate(np.argsort(-s, axis=1)[:, :10]) for n, j in enumerate(row)}
     assert {(r["query"], r["neighbour"], r["rank"]) for r in knn.most_similar(df).collect()} == want
+
+
+def test_long_texts_count_exactly():
+    import base64
+    import os
+
+    import tiktoken
+
+    with open(os.path.join(mixture.TOKENIZERS, mixture.RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("public", pat_str=mixture.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(["word", "Ünï", " ", "  ", "\n", "12", "'s", "...", "_", " a"], 120_000))
+    cut, at = 0, 0
+    while len(text) - at > 2 * mixture._PIECE and (seam := mixture._SEAM.search(text, at + mixture._PIECE)):
+        cut += len(enc.encode_ordinary(text[at : seam.start()]))
+        at = seam.start()
+    assert at and cut + len(enc.encode_ordinary(text[at:])) == len(enc.encode_ordinary(text))
+
+
+def test_sorted_by_range_alike(spark):
+    docs = spark.createDataFrame([(i, "some words here " * (1 + i % 5), "a" if i % 3 else "b") for i in range(900)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    rows = lambda n: sorted(map(tuple, mixture.mixture(docs, targets, range_rows=n).collect()), key=lambda r: r[-1])
+    whole = rows(10**6)
+    assert rows(100) == whole and [r[4] for r in whole] == sorted(r[4] for r in whole)
+    assert [r[5] for r in whole] == list(np.cumsum([r[3] for r in whole]))
+
+
+def test_a_class_of_many_copies(spark):
+    from sheafline.llm import lookalike
+
+    df = spark.range(100_000).selectExpr("id as doc_id", "if(id = 77, 'plain\u00a0words', 'plain words') as text")
+    assert lookalike.found(df).count() == 99_999
