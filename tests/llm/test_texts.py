@@ -81,6 +81,30 @@ def test_decode_stream():
     assert ocr.decode(["theknown"], [True], lex) == [("merged", "the known")]
 
 
+def test_decode_many_pieces():
+    lex = ocr.Lexicon(["the", "known", "word", "international", "remarkable", "a", "stands"])
+    assert ocr.decode(["theknownword"], [False], lex) == [("merged", "the known word")]
+    assert ocr.decode(["kn", "ow", "n"], [False] * 3, lex) == [("split", "known"), ("rest", ""), ("rest", "")]
+    read = ocr.decode(["inter-", "nation-", "al", "word"], [True, True, False, False], lex)
+    assert read == [("hyphen", "international"), ("rest", ""), ("rest", ""), ("keep", "word")]
+    assert ocr.decode(["Zebulon", "stands"], [False, False], lex)[0] == ("keep", "zebulon")
+
+
+def test_a_million_known_words():
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklm" for b in ("ando", "erti", "ilum", "opra", "ustev") for c in range(200) for d in ("ing", "tion", "able", "ment", "ness", "ful", "less", "ward", "wise", "hood")]
+    lex = ocr.Lexicon(words * 10)
+    assert lex.nearest("bando1qting", True) is None and lex.nearest("bando19tionx", True) == "bando19tion"
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    schema = "region_id long, doc_id string, page int, reading_order int, label string, text string, confidence double, x1 int, y1 int, x2 int, y2 int"
+    rows = [(1, "d", 1, 1, None, "Some words stand here\nand go on with", 0.9, 80, 100, 600, 140), (2, "d", 2, 1, None, "words of the next page.\nMore words", 0.9, 80, 100, 600, 140), (3, "d", 3, 1, None, "Another page begins.", 0.9, 80, 100, 600, 120)]
+    known = spark.createDataFrame([(w,) for w in "some words stand here and go on with of the next page more another begins".split()], "word string")
+    got = [tuple(r) for r in ocr.repaired_paragraphs(spark.createDataFrame(rows, schema), known).orderBy("paragraph").collect()]
+    assert got[0] == ("d", 1, 1, 2, "Some words stand here and go on with words of the next page. More words")
+    assert got[-1][2:] == (3, 3, "Another page begins.")
+
+
 def word_rows(pages):
     out, i = [], 0
     for page, lines in enumerate(pages, 1):
