@@ -46,15 +46,50 @@ select distinct least(q, t) as draft_a, greatest(q, t) as draft_b from k where c
 """
 
 
-def _one_form_sql(text: str) -> str:
-    """``lookalike.one_form`` with composed accents, in SQL."""
+P1_GROUPS_SQL = r"""
+with w as (select doc_id as key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+s as (select distinct key, list_aggregate(w[i:i + 4], 'string_agg', ' ') as g from (select key, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+c as (select key, min(key) over (partition by gs) as class, n from (select key, list_sort(list(g)) as gs, count(*) as n from s group by 1)),
+r as (select class, any_value(n) as n from c group by 1),
+sr as (select key, g from s where key in (select class from r)),
+m as (select a.key as x, b.key as y, count(*) as n_both from sr a join sr b on a.g = b.g and a.key < b.key group by 1, 2),
+l as (select x, y from m join r p on p.class = x join r q on q.class = y where n_both / (p.n + q.n - n_both) >= 0.8),
+e as (select class, count(*) as n_links from (select x as class from l union all select y from l) group by 1)
+select key, class, coalesce(n_links, 0) as n_links from c left join e using (class)
+"""
+
+P2_MOST_SQL = """
+with v as (select distinct on (draft_id) draft_id as id, modal_features.vector.embedding::double[] as e from vector_drafts
+  where modal_features.vector.dim = 64 and len(modal_features.vector.embedding) = 64
+    and len(list_filter(modal_features.vector.embedding, lambda x: x is not null and isfinite(x))) = 64
+    and len(list_filter(modal_features.vector.embedding, lambda x: x <> 0)) > 0),
+s as (select a.id as query, b.id as neighbour, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.id <> b.id where a.id % 20 = 0)
+select query, neighbour, row_number() over (partition by query order by round(c, 12) desc, neighbour) as rank, round(c, 6) as similarity
+from s qualify rank <= 10
+"""
+
+
+def _mapped_sql(text: str) -> str:
+    """``lookalike.one_form`` in SQL, but for controls and line ends."""
     table = lookalike.letter_table()
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     out = f"translate({text}, {quote(''.join(table) + lookalike.INVISIBLE)}, {quote(''.join(table.values()))})"
     for joined, letters in lookalike.JOINED.items():
         out = f"replace({out}, '{joined}', '{letters}')"
-    out = f"translate({out}, {quote(lookalike.BLANKS)}, {quote(' ' * len(lookalike.BLANKS))})"
-    return f"nfc_normalize({out})"
+    return f"translate({out}, {quote(lookalike.BLANKS)}, {quote(' ' * len(lookalike.BLANKS))})"
+
+
+def _one_form_sql(text: str) -> str:
+    """The same with composed accents."""
+    return f"nfc_normalize({_mapped_sql(text)})"
+
+
+def _p10_canonical_sql() -> str:
+    clean = rf"regexp_replace(regexp_replace({_mapped_sql('text')}, '\r\n?|[\x{{2028}}\x{{2029}}\x{{85}}]', chr(10), 'g'), '[\x00-\x08\x0b-\x1f\x7f]', '', 'g')"
+    return rf"""with k as (select doc_id, text, {clean} as form, coalesce(regexp_matches(text, '[^\s\p{{Z}}\p{{Cf}}]'), false) as shows from documents),
+        g as (select nfc_normalize(form) as look, arg_min({{'id': doc_id, 'form': form}}, (form <> text, strlen(text), doc_id)) as best from k where shows group by 1 having count(distinct text) > 1)
+        select doc_id, coalesce(g.best.id, doc_id) as class_id, coalesce(g.best.form, form) as canonical_text, coalesce(coalesce(g.best.form, form) <> text, false) as changed
+        from k left join g on shows and nfc_normalize(form) = look"""
 
 
 def _p8_sql() -> str:
@@ -94,4 +129,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p8_found": _p8_sql(), "p10_found": _p10_sql()}
+    return {
+        "p1_found": P1_SQL,
+        "p1_groups": P1_GROUPS_SQL,
+        "p2_found": P2_SQL,
+        "p2_most_similar": P2_MOST_SQL,
+        "p3_found": P3_SQL,
+        "p8_found": _p8_sql(),
+        "p10_found": _p10_sql(),
+        "p10_canonical": _p10_canonical_sql(),
+    }
