@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The extensions of each route, and mime types that are pinned by format.
 EXTENSIONS = {
-    "PDF": "pdf",
-    "SKIP": "doc ppt xls",
-    "PPTX_NATIVE": "pptx",
-    "DOCLING": "docx xlsx epub html htm tex",
-    "IMAGE": "png jpg jpeg tif tiff bmp gif webp avif heic heif",
-    "AUDIO": "mp3 wav m4a flac ogg aac wma",
-    "VIDEO": "mp4 avi mov webm mkv flv wmv m4v",
+    "PDF": ("pdf",),
+    "SKIP": ("doc", "ppt", "xls"),
+    "PPTX_NATIVE": ("pptx",),
+    "DOCLING": ("docx", "xlsx", "epub", "html", "htm", "tex"),
+    "IMAGE": ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif", "webp", "avif", "heic", "heif"),
+    "AUDIO": ("mp3", "wav", "m4a", "flac", "ogg", "aac", "wma"),
+    "VIDEO": ("mp4", "avi", "mov", "webm", "mkv", "flv", "wmv", "m4v"),
     "TEXT": (
-        "txt md markdown csv tsv rtf ipynb py pyi pyx js jsx mjs cjs ts tsx go rs java kt kts scala c h cpp cc cxx hpp hh "
-        "rb php swift m mm sh bash zsh fish yaml yml toml ini conf json jsonl ndjson xml svg rst eml msg"
+        "txt", "md", "markdown", "csv", "tsv", "rtf", "ipynb", "py", "pyi", "pyx", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "rs", "java", "kt", "kts", "scala", "c", "h", "cpp", "cc", "cxx", "hpp", "hh",
+        "rb", "php", "swift", "m", "mm", "sh", "bash", "zsh", "fish", "yaml", "yml", "toml", "ini", "conf", "json", "jsonl", "ndjson", "xml", "svg", "rst", "eml", "msg",
     ),
-}
+}
+#: Formats that go by their kind, whatever the extension.
+KINDS = ("IMAGE", "AUDIO", "VIDEO")
 MIME = {
     "PDF": "application/pdf",
     "DOCX": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
@@ -35,7 +38,7 @@ MIME = {
     "TSV": "text/tab-separated-values",
     "RTF": "application/rtf",
 }
-ROUTE_OF = {ext.upper(): route for route, exts in EXTENSIONS.items() for ext in exts.split()} | {"IMAGE": "IMAGE", "AUDIO": "AUDIO", "VIDEO": "VIDEO"}
+ROUTE_OF = {ext.upper(): route for route, exts in EXTENSIONS.items() for ext in exts} | {k: k for k in KINDS}
 
 
 def _lookup(table: dict[str, str], key: Column, default: str) -> Column:
@@ -48,27 +51,51 @@ def extension(path: Column) -> Column:
 
 
 def format_of_name(path: Column) -> Column:
-    """The extension in capitals if a route knows it, else empty."""
+    """The extension in capitals if a route knows it, its kind for images, audio and video, else empty."""
     fmt = F.upper(extension(path))
-    return F.when(fmt.isin(sorted(ROUTE_OF)), fmt).otherwise("")
+    out = F.when(fmt.isin(sorted(ROUTE_OF)), fmt).otherwise("")
+    for kind in KINDS:
+        out = F.when(fmt.isin([e.upper() for e in EXTENSIONS[kind]]), kind).otherwise(out)
+    return out
+
+
+def zip_kind(content: Column) -> Column:
+    """DOCX, PPTX, XLSX or EPUB by the names in a container's directory; null if it has none of them or can't be read."""
+
+    def of(data: bytes | None) -> str | None:
+        import io
+        import zipfile
+
+        try:
+            names = zipfile.ZipFile(io.BytesIO(data)).namelist() if data is not None else []
+        except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError):
+            return None
+        for part, kind in (("word/", "DOCX"), ("ppt/", "PPTX"), ("xl/", "XLSX")):
+            if any(n.startswith(part) for n in names):
+                return kind
+        return "EPUB" if "META-INF/container.xml" in names else None
+
+    def kinds(column: pd.Series) -> pd.Series:
+        return column.map(of)
+
+    return F.pandas_udf(kinds, "string")(content)
 
 
 def format_of_file(path: Column, content: Column) -> Column:
-    """The format by the first bytes, else by extension. ZIP containers go by the parts named in them, in a fixed order."""
+    """The format by the first bytes, else by extension. ZIP containers go by the names in their directory, in a fixed order."""
     head = F.hex(F.substring(content, 1, 8))
-    names = F.decode(content, "ISO-8859-1")
-    zipped = (
-        F.when(F.contains(names, F.lit("word/")), "DOCX")
-        .when(F.contains(names, F.lit("ppt/")), "PPTX")
-        .when(F.contains(names, F.lit("xl/")), "XLSX")
-        .when(F.contains(names, F.lit("META-INF/container.xml")), "EPUB")
-        .otherwise(format_of_name(path))
-    )
 
     def starts(magic: str) -> Column:
         return F.startswith(head, F.hex(F.lit(magic)))
 
-    return F.when(starts("%PDF-"), "PDF").when(starts("{\\rtf"), "RTF").when(F.startswith(head, F.lit("504B0304")), zipped).otherwise(format_of_name(path))
+    zipped = F.startswith(head, F.lit("504B0304"))
+    by_name = format_of_name(path)
+    return F.when(starts("%PDF-"), "PDF").when(starts("{\\rtf"), "RTF").otherwise(F.coalesce(zip_kind(F.when(zipped, content)), by_name))
+
+
+def is_pdf(content: Column) -> Column:
+    """Whether the first bytes are a PDF head with a version."""
+    return F.coalesce(F.decode(F.substring(content, 1, 11), "ISO-8859-1").rlike(r"^%PDF-\d\.\d"), F.lit(False))
 
 
 def route_of(fmt: Column) -> Column:
@@ -81,4 +108,4 @@ def mime_of(fmt: Column) -> Column:
 
 def convertible() -> list[str]:
     """Extensions that some route takes."""
-    return sorted(e.lower() for e, r in ROUTE_OF.items() if r != "SKIP" and e not in ("IMAGE", "AUDIO", "VIDEO"))
+    return sorted(e.lower() for e, r in ROUTE_OF.items() if r != "SKIP" and e not in KINDS)

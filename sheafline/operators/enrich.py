@@ -27,14 +27,18 @@ def confidence_of(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, label), F.lit(0.60))
 
 
-def entities(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, pos, text, type, confidence: what the patterns find, label by label in order; blank texts have none."""
+def found_in(text: Column) -> Column:
+    """The entities of a text as an array of (text, type), label by label in order; blank texts have none."""
 
     def of(label: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 1), lambda x: F.struct(x.alias("text"), F.lit(label).alias("type")))
+        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1), lambda x: F.struct(x.alias("text"), F.lit(label).alias("type")))
+
+    return F.concat(*[of(k, p) for k, p in PATTERNS.items()])
 
-    found = F.concat(*[of(k, p) for k, p in PATTERNS.items()])
-    rows = chunks.select("doc_id", "chunk_id", F.posexplode(found).alias("pos", "e"))
+
+def entities(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, pos, text, type, confidence: what the patterns find in each chunk."""
+    rows = chunks.select("doc_id", "chunk_id", F.posexplode(found_in(F.col("text"))).alias("pos", "e"))
     return rows.select("doc_id", "chunk_id", "pos", F.col("e.text").alias("text"), F.col("e.type").alias("type"), confidence_of(F.col("e.type")).alias("confidence"))
 
 
@@ -52,22 +56,37 @@ def topics(distinct: DataFrame, per: str = "doc_id", top: int = TOPICS) -> DataF
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(per, "topic", "n_types", "rank")
 
 
-def pairs(ents: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
-    """Co-occurring entities of a chunk: unordered pairs of different texts, first seen first, at most ``cap`` a chunk.
+def pairs_in(found: Column, cap: int = PAIR_CAP) -> Column:
+    """Unordered pairs of different texts of an ordered array of (text, confidence), first seen first, at most ``cap``.
 
-    doc_id, chunk_id, from_text, to_text, confidence (the mean of both, rounded to 3), rank.
+    A pair is first seen at the first places of its texts, so no more than the first
+    ``cap`` + 1 different texts can be in it.
     """
-    a = ents.select("doc_id", "chunk_id", F.col("pos").alias("i"), F.col("text").alias("from_text"), F.col("confidence").alias("ca"))
-    b = ents.select("chunk_id", F.col("pos").alias("j"), F.col("text").alias("to_text"), F.col("confidence").alias("cb"))
-    met = a.join(b, "chunk_id").where("i < j and from_text <> to_text")
-    met = met.withColumn("lo", F.least("from_text", "to_text")).withColumn("hi", F.greatest("from_text", "to_text"))
-    first = met.groupBy("doc_id", "chunk_id", "lo", "hi").agg(F.min(F.struct("i", "j", "from_text", "to_text", "ca", "cb")).alias("m"))
-    w = Window.partitionBy("chunk_id").orderBy("m.i", "m.j")
-    return (
-        first.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= cap)
-        .select("doc_id", "chunk_id", F.col("m.from_text").alias("from_text"), F.col("m.to_text").alias("to_text"), F.round((F.col("m.ca") + F.col("m.cb")) / 2, 3).alias("confidence"), "rank")
-    )
+    texts = F.slice(F.array_distinct(F.transform(found, lambda e: e["text"])), 1, cap + 1)
+    first = F.transform(texts, lambda t: F.element_at(F.filter(found, lambda e: e["text"] == t), 1))
+
+    def with_later(e: Column, i: Column) -> Column:
+        mean = lambda o: F.round((e["confidence"] + o["confidence"]) / 2, 3)
+        return F.transform(F.slice(first, i + 2, cap), lambda o: F.struct(e["text"].alias("from_text"), o["text"].alias("to_text"), mean(o).alias("confidence")))
+
+    return F.slice(F.flatten(F.transform(first, with_later)), 1, cap)
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    out = rows.select("doc_id", "chunk_id", F.posexplode("pairs").alias("_i", "p"))
+    return out.select("doc_id", "chunk_id", "p.from_text", "p.to_text", "p.confidence", (F.col("_i") + 1).alias("rank"))
+
+
+def pairs(ents: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
+    """Co-occurring entities of each chunk: doc_id, chunk_id, from_text, to_text, confidence (the mean of both, rounded to 3), rank."""
+    each = ents.groupBy("doc_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "confidence"))).alias("found"))
+    return _paired(each.select("doc_id", "chunk_id", pairs_in(F.col("found"), cap).alias("pairs")))
+
+
+def chunk_pairs(chunks: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
+    """The same straight from the chunks, without a shuffle."""
+    found = F.transform(found_in(F.col("text")), lambda e: F.struct(e["text"].alias("text"), confidence_of(e["type"]).alias("confidence")))
+    return _paired(chunks.select("doc_id", "chunk_id", found.alias("found")).select("doc_id", "chunk_id", pairs_in(F.col("found"), cap).alias("pairs")))
 
 
 def without_boilerplate(distinct: DataFrame, relations: DataFrame, drop: Column) -> tuple[DataFrame, DataFrame]:

@@ -124,8 +124,8 @@ def as_nodes(value: object) -> list:
 
 
 def find_root(payload: object) -> dict | None:
-    """The root node of a decoded payload: under ``structure.root``, in wrappers around it, or the payload itself."""
-    for _ in range(8):
+    """The root node of a decoded payload: under ``structure.root``, in any number of wrappers around it, or the payload itself."""
+    while True:  # every turn goes further in
         if isinstance(payload, str):
             try:
                 payload = loads(payload)
@@ -143,7 +143,6 @@ def find_root(payload: object) -> dict | None:
             return payload
         else:
             payload = next((v for k in ("document", "uir", "payload", "data", "body", "doc", "record", "envelope") if (v := payload.get(k)) is not None), None)
-    return None
 
 
 def stripes_of(text: str | None) -> list[tuple]:

@@ -49,10 +49,11 @@ def _tables(s: SparkSession, d: str) -> DataFrame:
 
 
 def _drafts(s: SparkSession, d: str) -> DataFrame:
-    r = regions(s, d).select("doc_id", F.col("region_id").alias("ord"), "label", "text")
+    """Regions of chunks: tables as tables, headings as captions of figures."""
+    r = chunks(s, d).select("doc_id", F.col("chunk_index").alias("ord"), F.col("region_kind").alias("label"), "text")
     t = r.where("label = 'table'").select("doc_id", "ord", F.col("text").alias("markdown"))
-    c = r.where("label = 'caption'").select("doc_id", "ord", F.col("text").alias("caption"))
-    return extract.document_chunks(r.where("label is null or label not in ('table', 'caption')"), t, c).select("doc_id", "src_rank", "ord", "region_kind", "text")
+    c = r.where("label = 'heading'").select("doc_id", "ord", F.col("text").alias("caption"))
+    return extract.document_chunks(r.where("label is null or label not in ('table', 'heading')"), t, c).select("doc_id", "src_rank", "ord", "region_kind", "text")
 
 
 def _embedded(s: SparkSession, d: str) -> DataFrame:
@@ -81,7 +82,7 @@ SQL = {
     "table_dedupe": f"with {CHUNKS_SQL} select chunk_id, page from c where region_kind = 'table' qualify row_number() over (partition by doc_id, page, substring(coalesce(text, ''), 1, 120) order by chunk_index, chunk_id) = 1",
     "scanned_documents": f"with {REGIONS_SQL} select doc_id, sum(length(coalesce(text, '')))::bigint as n_chars, count(distinct page) as n_pages, sum(length(coalesce(text, ''))) / greatest(count(distinct page), 1) < 50 as looks_scanned from r group by 1",
     "clean_words": f"with {WORDS_SQL} select word_id, round(least(1.0, case when coalesce(confidence, 0) > 1 then confidence / 100 else coalesce(confidence, 0) end), 6) as confidence from w where trim(text) <> '' and coalesce(confidence, 0) >= 0",
-    "document_drafts": f"with {REGIONS_SQL} select doc_id, case label when 'table' then 1 when 'caption' then 2 else 0 end as src_rank, region_id as ord, case label when 'caption' then 'figure' else label end as region_kind, text from r where length(trim(text)) >= 4",
+    "document_drafts": f"with {CHUNKS_SQL} select doc_id, case region_kind when 'table' then 1 when 'heading' then 2 else 0 end as src_rank, chunk_index as ord, case region_kind when 'heading' then 'figure' else region_kind end as region_kind, text from c where length(trim(text)) >= 4",
     "embedded_chunks": f"with {CHUNKS_SQL} select chunk_id, 64::bigint as dim, case when regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]') then 1.0 else 0.0 end::double as norm from c",
     "command_questions": f"with {MESSAGES_SQL} select id, trim(substring(trim(content), 11)) as question from m where starts_with(lower(trim(content)), '@fireworks')",
     "without_mentions": f"with {MESSAGES_SQL} select id, trim(regexp_replace(regexp_replace(content, '@\\S+', '', 'g'), '\\s{{2,}}', ' ', 'g')) as content from m where content is not null",

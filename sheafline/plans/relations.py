@@ -24,6 +24,12 @@ def _folders(s: SparkSession, d: str) -> DataFrame:
     return _jobs(s, d).where("folder_id is not null").select("folder_id").distinct()
 
 
+def _fullest(s: SparkSession, d: str) -> int:
+    """The folder with the most jobs."""
+    row = _jobs(s, d).where("folder_id is not null").groupBy("folder_id").count().orderBy(F.desc("count"), "folder_id").first()
+    return row["folder_id"] if row else -1
+
+
 def _moves(s: SparkSession, d: str) -> DataFrame:
     return _jobs(s, d).where("folder_id is null").select("job_id", (F.col("job_id") % 120).alias("to_folder"))
 
@@ -56,13 +62,16 @@ def _replies(s: SparkSession, d: str) -> DataFrame:
     return messages(s, d).where("content is not null").select("id", F.concat("content", F.lit(" "), marks).alias("reply"), F.lit(15).cast("long").alias("n"))
 
 
+def _mentioning(s: SparkSession, d: str) -> DataFrame:
+    """Messages in which every word is a mention."""
+    return messages(s, d).select("id", F.regexp_replace("content", r"(\S+)", "@$1").alias("content"))
+
+
 def _events(s: SparkSession, d: str) -> DataFrame:
     e = read(s, d, "events")
     return e.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "purchase").alias("failed"))
 
 
-
-
 QUERIES = {
     "thread_summaries": lambda s, d: library.thread_summaries(messages(s, d)),
     "thread_list": lambda s, d: library.threads_of(messages(s, d), library.members_of(messages(s, d)), _busiest(s, d)),
@@ -72,9 +81,9 @@ QUERIES = {
     "thread_history": lambda s, d: library.recent_history(messages(s, d)),
     "thread_leave": lambda s, d: library.without_empty_threads(messages(s, d), library.members_of(messages(s, d)).where(F.col("email") != _busiest(s, d))).select("id"),
     "folder_counts": lambda s, d: library.folder_counts(_folders(s, d), _jobs(s, d)),
-    "folder_jobs": lambda s, d: library.jobs_in(_jobs(s, d), folder_id=1).select("job_id", "filename"),
+    "folder_jobs": lambda s, d: library.jobs_in(_jobs(s, d), folder_id=_fullest(s, d)).select("job_id", "filename"),
     "root_jobs": lambda s, d: library.jobs_in(_jobs(s, d), root=True).select("job_id", "filename"),
-    "delete_folder": lambda s, d: library.delete_folder(_folders(s, d), _jobs(s, d), 1)[1].select("job_id", "folder_id"),
+    "delete_folder": lambda s, d: library.delete_folder(_folders(s, d), _jobs(s, d), _fullest(s, d))[1].select("job_id", "folder_id"),
     "set_folder": lambda s, d: library.set_folder(_jobs(s, d), _folders(s, d), _moves(s, d)).select("job_id", "folder_id"),
     "upsert_chunks": lambda s, d: library.upsert(
         chunks(s, d).select("chunk_id", F.substring(F.coalesce("text", F.lit("")), 1, 256).alias("text_preview"), F.lit(1).alias("version")),
@@ -82,8 +91,8 @@ QUERIES = {
         "chunk_id",
     ),
     "email_prefix": lambda s, d: library.by_email_prefix(library.members_of(messages(s, d)).select("email").distinct(), "ke"),
-    "email_normalize": lambda s, d: read(s, d, "mail_chunks").select("mail_id", T.normal_email(F.col("from_addr")).alias("from_email")).distinct(),
-    "file_mentions": lambda s, d: library.mentioned_files(messages(s, d), _jobs(s, d).select("job_id", F.element_at(F.split("filename", " "), -1).alias("filename")).unionByName(s.createDataFrame([(-1, "fireworks")], "job_id long, filename string"))),
+    "email_normalize": lambda s, d: read(s, d, "mail_chunks").select("mail_id", T.normal_email(F.concat(F.lit("  "), F.upper("from_addr"), F.lit("\t"))).alias("from_email")).distinct(),
+    "file_mentions": lambda s, d: library.mentioned_files(_mentioning(s, d), _jobs(s, d).select("job_id", F.element_at(F.split("filename", " "), -1).alias("filename"))),
     "citations_validate": lambda s, d: _replies(s, d).select("id", citations.validated(F.col("reply"), F.col("n")).alias("v")).select("id", F.col("v.cleaned").alias("cleaned"), F.array_join(F.col("v.cited").cast("array<string>"), ",").alias("cited"), F.array_join(F.col("v.invalid").cast("array<string>"), ",").alias("invalid")),
     "align_speakers": lambda s, d: media.align_speakers(segments(s, d).select("doc_id", "seq", "start", "end"), _speakers(s, d)).select("doc_id", "seq", "speaker", F.round("overlap", 3).alias("overlap")),
     "frame_sampling": lambda s, d: _frames(s, d).select("doc_id", F.col("frame_no").cast("long").alias("frame_no"), "timestamp"),
@@ -102,6 +111,7 @@ _MEM = f"{MESSAGES_SQL}, mb as (select distinct conversation_id, lower(trim(send
 _BUSY = "(select email from mb group by email order by count(*) desc, email limit 1)"
 _SUM = "t as (select conversation_id, substring(regexp_replace(regexp_replace(coalesce(arg_max_null(content, id), ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g'), 1, 120) as last_preview, arg_max_null(role, id) as last_role, count(*) as message_count, max(created_at) as updated_at from m where conversation_id is not null group by conversation_id)"
 _JOBS = "j as (select doc_id as job_id, folder_id, title as filename, created_at as submitted_at from documents), f as (select distinct folder_id from j where folder_id is not null)"
+_FULL = "(select folder_id from j where folder_id is not null group by 1 order by count(*) desc, folder_id limit 1)"
 _FRAMES = f"""{SEGMENTS_SQL}, du as (select doc_id, max(stop) + 45 as d from s group by doc_id),
 st as (select doc_id, d, case when d <= 60 then 5.0 when d <= 300 then 10.0 else greatest(30.0, d / 20) end::double as k from du where d >= 0),
 fr as (select doc_id, frame_no, round(frame_no * k, 3) as "timestamp" from (select doc_id, k, unnest(range(floor(d / k)::bigint + 1)) as frame_no from st))"""
@@ -114,14 +124,14 @@ SQL = {
     "thread_history": f"with {MESSAGES_SQL}, h as (select * from m where conversation_id is not null qualify row_number() over (partition by conversation_id order by id desc) <= 6) select conversation_id, id, role, substring(coalesce(content, ''), 1, 4000) as content from h where role in ('user', 'assistant')",
     "thread_leave": f"with {_MEM} select id from m where conversation_id in (select conversation_id from mb where email <> {_BUSY})",
     "folder_counts": f"with {_JOBS} select f.folder_id, count(j.job_id) as n_jobs from f left join j using (folder_id) group by 1",
-    "folder_jobs": f"with {_JOBS} select job_id, filename from j where folder_id = 1",
+    "folder_jobs": f"with {_JOBS} select job_id, filename from j where folder_id = {_FULL}",
     "root_jobs": f"with {_JOBS} select job_id, filename from j where folder_id is null",
-    "delete_folder": f"with {_JOBS} select job_id, case when folder_id = 1 then null else folder_id end as folder_id from j",
+    "delete_folder": f"with {_JOBS} select job_id, case when folder_id = {_FULL} then null else folder_id end as folder_id from j",
     "set_folder": f"with {_JOBS} select job_id, case when folder_id is null and job_id % 120 in (select folder_id from f) then job_id % 120 else folder_id end as folder_id from j",
     "upsert_chunks": f"with {CHUNKS_SQL} select chunk_id, case when region_kind = 'table' then upper(substring(coalesce(text, ''), 1, 256)) else substring(coalesce(text, ''), 1, 256) end as text_preview, case when region_kind = 'table' then 2 else 1 end as version from c",
     "email_prefix": f"with {_MEM} select distinct email from mb where email like 'ke%' order by email limit 8",
     "email_normalize": "select distinct mail_id, lower(trim(from_addr)) as from_email from mail_chunks",
-    "file_mentions": f"with {MESSAGES_SQL}, n as (select lower(name) as name, min(job_id) as job_id from (select doc_id as job_id, string_split(title, ' ')[-1] as name from documents union all select -1, 'fireworks') where name is not null group by 1) select distinct x.id, n.job_id from (select id, lower(unnest(regexp_extract_all(coalesce(content, ''), '@(\\S+)', 1))) as name from m) x join n using (name)",
+    "file_mentions": f"with {MESSAGES_SQL}, n as (select lower(name) as name, min(doc_id) as job_id from (select doc_id, string_split(title, ' ')[-1] as name from documents) where name is not null group by 1) select distinct x.id, n.job_id from (select id, lower(unnest(regexp_extract_all(coalesce(content, ''), '(\\S+)', 1))) as name from m) x join n using (name)",
     "align_speakers": f"""with {SEGMENTS_SQL}, o as (select a.doc_id, a.seq, b.speaker, least(a.stop, b.stop + 1.5) - greatest(a.start, b.start + 1.5) as ov, b.seq as turn from s a join s b on a.doc_id = b.doc_id and b.start + 1.5 < a.stop and b.stop + 1.5 > a.start),
         best as (select * from o qualify row_number() over (partition by doc_id, seq order by ov desc, turn) = 1)
         select s.doc_id, s.seq, coalesce(best.speaker, 'UNKNOWN') as speaker, round(coalesce(ov, 0), 3) as overlap from s left join best on s.doc_id = best.doc_id and s.seq = best.seq""",

@@ -189,7 +189,7 @@ def regions(text_rows: DataFrame) -> DataFrame:
 
 
 def mails(files: DataFrame) -> DataFrame:
-    """path, subject, from, to, date, text of message files; unreadable ones are left out."""
+    """path, subject, from, to, date, text, error of message files; one that can't be read has an error only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -197,28 +197,30 @@ def mails(files: DataFrame) -> DataFrame:
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
                     m = mail_parts(bytes(data))
-                except Exception:  # noqa: BLE001 - a bad file must not end the job
+                except Exception as e:  # noqa: BLE001 - a bad file must not end the job
+                    rows.append((path, *[None] * 5, f"{type(e).__name__}: {e}"[:500]))
                     continue
-                rows.append((path, m["subject"], m["from"], m["to"], m["date"], m["text"]))
-            yield pd.DataFrame(rows, columns=["path", "subject", "from", "to", "date", "text"])
+                rows.append((path, m["subject"], m["from"], m["to"], m["date"], m["text"], None))
+            yield pd.DataFrame(rows, columns=["path", "subject", "from", "to", "date", "text", "error"])
 
-    return files.where("format = 'EML'").select("path", "content").mapInPandas(run, "path string, subject string, `from` string, `to` string, date string, text string")
+    return files.where("format = 'EML'").select("path", "content").mapInPandas(run, "path string, subject string, `from` string, `to` string, date string, text string, error string")
 
 
 def slides(files: DataFrame) -> DataFrame:
-    """path, page, reading_order, label, text, box of presentations."""
+    """path, page, reading_order, label, text, box, error of presentations; one that can't be read is one row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows.extend((path, *r) for r in slide_regions(bytes(data)))
-                except Exception:  # noqa: BLE001 - a bad file must not end the job
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "page", "reading_order", "label", "text", "box"])
+                    rows.extend([(path, *r, None) for r in slide_regions(bytes(data))])
+                except Exception as e:  # noqa: BLE001 - a bad file must not end the job
+                    rows.append((path, *[None] * 5, f"{type(e).__name__}: {e}"[:500]))
+            out = pd.DataFrame(rows, columns=["path", "page", "reading_order", "label", "text", "box", "error"])
+            yield out.astype({"page": "Int32", "reading_order": "Int32"})
 
-    return files.where("format = 'PPTX'").select("path", "content").mapInPandas(run, "path string, page int, reading_order int, label string, text string, box array<int>")
+    return files.where("format = 'PPTX'").select("path", "content").mapInPandas(run, "path string, page int, reading_order int, label string, text string, box array<int>, error string")
 
 
 def json_documents(spark: SparkSession, folder: str) -> DataFrame:
