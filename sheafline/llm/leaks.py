@@ -23,12 +23,12 @@ from sheafline.session import materialize
 #: Consecutive words in common that make a leak, and the edits that a passage of so many words may have.
 MIN_WORDS = 20
 MAX_EDITS = 3
-#: Words of a window, and how far apart a document's windows begin: a passage of MIN_WORDS holds three or more.
-WINDOW = 10
-STRIDE = 3
+#: Words of a window, and how far apart a document's windows begin: a passage of MIN_WORDS holds four or more.
+WINDOW = 12
+STRIDE = 2
 #: Repetitions, and positions of the embedding sampled by each.
-REPEATS = 4
-BITS = 4
+REPEATS = 8
+BITS = 8
 #: Bits of the map of item keys by which tasks drop windows that meet nothing; its size doesn't follow the data.
 FILTER_BITS = 26
 
@@ -55,7 +55,8 @@ def words_of(text: str | None, letters: dict[int, str | None]) -> list[str]:
 def word_hash(word: str) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word) or 1
+    h = xxhash.xxh64_intdigest(word)
+    return h if h & 0xFFFFFFFF else h + 1  # 0 stands for no word
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,20 +74,17 @@ def cgk_keys(h: np.ndarray, places: np.ndarray, window: int, repeats: int, bits:
     rng = np.random.default_rng(seed)
     steps = 3 * window
     sampled = np.sort(np.stack([rng.choice(2 * window, size=bits, replace=False) for _ in range(repeats)]), axis=1)
-    symbols = np.zeros((len(places), window + 1), np.uint64)
-    for k in range(window):
-        symbols[:, k] = h[places + k]
-    coins = _mix(symbols * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed))
-    coins[:, window] = 0  # padding never moves
+    coins = _mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed))
     keys = np.full((len(places), repeats), 0, np.uint64)
     keys += np.arange(1, repeats + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
-    at, rows = np.zeros(len(places), np.int64), np.arange(len(places))
+    at, end = places.copy(), places + window
     for j in range(min(steps, int(sampled.max()) + 1)):
-        here = symbols[rows, at]
+        inside = at < end
+        here = np.where(inside, h[np.minimum(at, len(h) - 1)], np.uint64(0))
         for r in range(repeats):
             if j in sampled[r]:
                 keys[:, r] = _mix(keys[:, r] * np.uint64(0x9E3779B97F4A7C15) + here)
-        at += ((coins[rows, at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+        at += inside & ((coins[np.minimum(at, len(h) - 1)] >> np.uint64(j)) & np.uint64(1)).astype(bool)
     return keys
 
 
@@ -140,12 +138,12 @@ def window_keys(texts: DataFrame, key: str, stride: int, known: np.ndarray | Non
                 row, column = np.nonzero((share.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
             else:
                 row, column = np.divmod(np.arange(keys.size), repeats)
-            signed = h.view(np.int64)
+            signed = h.astype(np.uint32).view(np.int32)
             at = places[row]
             yield pd.DataFrame({"id": pd.Series(ids).iloc[owner[row]].to_numpy(), "key": keys[row, column].view(np.int64), "around": pd.Series([signed[p - side : p + window + side] for p in at], dtype=object)})
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(F.col(key).alias("id"), "text").where("text is not null").mapInPandas(run, f"id {kind}, key long, around array<long>")
+    return texts.select(F.col(key).alias("id"), "text").where("text is not null").mapInPandas(run, f"id {kind}, key long, around array<int>")
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,6 +155,17 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
+def could_hold(text: np.ndarray, item: np.ndarray, size: int, edits: int) -> np.ndarray:
+    """Whether some ``size`` words of the item have all but ``edits`` of them near the same place of the text, row by row."""
+    near = np.zeros(item.shape, bool)
+    for d in range(-edits, edits + 1):
+        lo, hi = max(0, -d), item.shape[1] - max(0, d)
+        near[:, lo:hi] |= item[:, lo:hi] == text[:, lo + d : hi + d]
+    near &= item != 0
+    sums = np.cumsum(np.pad(near, ((0, 0), (1, 0))), axis=1)
+    return (sums[:, size:] - sums[:, :-size]).max(axis=1) >= size - edits
+
+
 def edit_distance(passage: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The least word edits that turn each passage into a part of its text, which is 2 x MAX_EDITS words longer.
 
@@ -194,6 +203,8 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
             if not len(pdf):
                 continue
             a, b = np.stack(pdf["a"].tolist()), np.stack(pdf["b"].tolist())
+            kept = could_hold(a, b, min_words, max_edits)
+            a, b, pdf = a[kept], b[kept], pdf[kept]
             edits = np.full(len(a), min_words, np.int64)
             for d in range(slack + 1):  # every passage of the item that holds the window
                 at = MAX_EDITS + d
