@@ -56,11 +56,22 @@ def hashed_vectors(dim: int = DIM, prefix: str = "") -> Callable[[list], list]:
     return embed
 
 
-def embedded(rows: DataFrame, text: str = "text", make: Callable[[], Callable[[list], list]] | None = None, dim: int = DIM) -> DataFrame:
-    """Rows with ``embedding`` by a hook, or by hashed counts."""
-    return rows.withColumn("embedding", batched(make or (lambda: hashed_vectors(dim)), "array<double>")(F.col(text)))
+def embedded(rows: DataFrame, text: str = "text", make: Callable[[], Callable[[list], list]] | None = None, dim: int = DIM, prefix: str = QUERY_PREFIX) -> DataFrame:
+    """Rows with ``embedding`` by a hook, or by hashed counts; ``prefix`` stands before every text."""
+    return rows.withColumn("embedding", batched(make or (lambda: hashed_vectors(dim, prefix)), "array<double>")(F.col(text)))
 
 
-def query_vector(query: str, dim: int = DIM) -> list[float]:
+def query_vector(query: str, dim: int = DIM, prefix: str = QUERY_PREFIX) -> list[float]:
     """The default embedding of a query."""
-    return hashed_vectors(dim)([query])[0]
+    return hashed_vectors(dim, prefix)([query])[0]
+
+
+def query_vector_or_reason(query: str, make: Callable[[], Callable[[list], list]] | None = None, dim: int = DIM) -> tuple[list[float] | None, str | None]:
+    """(vector, None) of a query, or (None, reason) where it is blank, the model fails or gives nothing."""
+    if not query or not query.strip():
+        return None, "blank query"
+    try:
+        vector = make()([query])[0] if make else query_vector(query, dim)
+    except Exception as e:  # noqa: BLE001 - search goes on by words
+        return None, f"{type(e).__name__}: {e}"[:500]
+    return (vector, None) if len(vector) and any(vector) else (None, "empty vector")

@@ -72,3 +72,14 @@ def document_chunks(regions: DataFrame, tables: DataFrame, captions: DataFrame)
         captions.select("doc_id", F.lit(2).alias("src_rank"), "ord", F.lit("figure").alias("region_kind"), F.col("caption").alias("text")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.length(T.strip(F.col("text"))) >= 4)
+
+
+def with_page_texts(drafts: DataFrame, pages: DataFrame) -> DataFrame:
+    """The drafts, and for documents without any, one of all their page texts, in order, a space between.
+
+    pages: doc_id, page, text.
+    """
+    bare = pages.where("text is not null").join(drafts.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = bare.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("t"))
+    text = F.array_join(F.col("t.text"), " ")
+    return drafts.unionByName(whole.select("doc_id", F.lit(0).alias("src_rank"), F.lit(0).cast(drafts.schema["ord"].dataType).alias("ord"), F.lit("paragraph").alias("region_kind"), text.alias("text")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
+from sheafline.operators.documents import nested
 from sheafline.operators.search import INTENT_THRESHOLD, INTENT_TOP_K, average_words, cosine_top, dynamic_floor, query_keywords
-from sheafline.operators.structure import neighbour_links
+from sheafline.operators.structure import neighbour_links, section_runs
 
 
 def matches(chunks: DataFrame, intent: str, query_vector: list[float] | None = None, top_k: int = INTENT_TOP_K, threshold: float = INTENT_THRESHOLD) -> DataFrame:
@@ -47,3 +48,40 @@ def summary(chunks: DataFrame, intent: str, query_vector: list[float] | None = N
     all_ = chunks.groupBy("doc_id").agg(F.count("*").alias("total_chunks"))
     missing = F.col("n").isNull() & F.lit(bool(query_keywords(intent)))
     return all_.join(got, "doc_id", "left").select("doc_id", "total_chunks", F.when(missing, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("matched_chunks"), "best", missing.alias("no_match"))
+
+
+def composed(chunks: DataFrame, intent: str, query_vector: list[float] | None = None) -> DataFrame:
+    """The filtered tree as rows: doc_id, child_no, section_id, chunk_id, chunk_index, score, score_kind, no_match.
+
+    A section whose title matches is kept whole, of others the selected chunks only;
+    sections keep their place. A document without a match is kept whole, and so is
+    every document under a blank intent.
+    """
+    asked = bool(query_keywords(intent))
+    got = matches(chunks, intent, query_vector).select("doc_id", "chunk_id", "score", "score_kind")
+    some = got.select("doc_id").distinct().withColumn("_some", F.lit(True))
+    rows = section_runs(chunks).join(got, ["doc_id", "chunk_id"], "left").join(some, "doc_id", "left")
+    whole = F.col("_some").isNull()
+    kept = rows.where(whole | F.col("score_kind").isNotNull())
+    kind = F.when(whole & F.lit(asked), "no_match_fallback").otherwise(F.col("score_kind"))
+    return kept.select("doc_id", "child_no", "section_id", "chunk_id", "chunk_index", "score", kind.alias("score_kind"), (whole & F.lit(asked)).alias("no_match"))
+
+
+def filtered_documents(chunks: DataFrame, intent: str, query_vector: list[float] | None = None) -> DataFrame:
+    """doc_id and payload: every document as JSON with the filtered tree only, its chunks with their scores."""
+    kept = composed(chunks, intent, query_vector).select("doc_id", "chunk_id", "score", "score_kind")
+    return nested(chunks.join(kept, ["doc_id", "chunk_id"]), [F.col("score"), F.col("score_kind")])
+
+
+def topics_hit(intent: str, topics: Column) -> Column:
+    """The intent's keywords, of three letters or more, that a topic's words hold, or that one of four letters or more begins or ends with."""
+    words = F.array_distinct(F.flatten(F.transform(topics, lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"([a-z0-9][a-z0-9-]*)"), 1))))
+    words = F.filter(words, lambda w: F.length(w) >= 2)
+    kws = F.array(*[F.lit(k) for k in query_keywords(intent) if len(k) >= 3]).cast("array<string>")
+    return F.filter(kws, lambda k: F.exists(words, lambda w: (w == k) | ((F.length(w) >= 4) & (F.startswith(w, k) | F.endswith(w, k)))))
+
+
+def scoring(vector: Column, hits: Column) -> Column:
+    """How a document was scored, as its summary says it."""
+    base = F.when(vector, "cosine").otherwise("keyword")
+    return F.when(F.size(hits) > 0, F.concat(base, F.lit("+topic-widen"))).otherwise(base)

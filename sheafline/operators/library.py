@@ -144,3 +144,30 @@ def endpoint(url: Column) -> Column:
     authority = F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit(""))
     port = F.regexp_extract(authority, r":(\d+)$", 1)
     return F.struct(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("localhost")).alias("host"), F.when(port != "", port.try_cast("int")).otherwise(F.when(secure, 443).otherwise(80)).alias("port"), secure.alias("secure"))
+
+
+def renamed_folder(folders: DataFrame, folder_id: int, name: str) -> DataFrame:
+    """The folders, one of them under another name (a ``name`` column is added where there is none)."""
+    old = F.col("name") if "name" in folders.columns else F.lit(None).cast("string")
+    return folders.withColumn("name", F.when(F.col("folder_id") == folder_id, F.lit(name)).otherwise(old))
+
+
+def without_jobs(jobs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The jobs that ``gone`` (job_id) doesn't name."""
+    return jobs.join(gone.select("job_id").distinct(), "job_id", "left_anti")
+
+
+def citation_list(citations: Column) -> Column:
+    """Stored citations as an array of (title, page, chunk_id); null, blank and broken JSON as an empty one."""
+    return F.coalesce(F.from_json(citations, "array<struct<title: string, page: int, chunk_id: string>>"), F.array().cast("array<struct<title: string, page: int, chunk_id: string>>"))
+
+
+def with_registered_peer(threads: DataFrame, users: DataFrame) -> DataFrame:
+    """Threads with ``peer_registered``: whether their peer_email is a user's."""
+    known = users.select(T.normal_email(F.col("email")).alias("peer_email")).distinct().withColumn("_known", F.lit(True))
+    return threads.join(known, "peer_email", "left").withColumn("peer_registered", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def jobs_asked(job_ids: Column, mentioned: Column) -> Column:
+    """The jobs that a question names and mentions, each once."""
+    return F.array_union(F.coalesce(job_ids, F.array().cast("array<bigint>")), F.coalesce(mentioned, F.array().cast("array<bigint>")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.functions import text as T
+
 #: Width of the time buckets by which intervals meet, in seconds.
 BUCKET = 30.0
 
@@ -59,12 +61,11 @@ def trailing_frames(chunks: DataFrame, frames_: DataFrame) -> DataFrame:
     return late.groupBy("doc_id").agg(F.count("*").alias("n_frames"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.lit("UNKNOWN").alias("speaker"))
 
 
-def transcript_chunks(segments: DataFrame, target: int = 384, most: int = 512) -> DataFrame:
-    """Adds chunk_no (from 0): consecutive segments bundled up to ``target``, never over ``most`` tokens but for a segment that is alone over it.
+def _numbered(rows: DataFrame, order: list[str], step: Callable[[int, int], tuple[bool, bool]]) -> DataFrame:
+    """Adds chunk_no (from 0) in order within doc_id. ``step(held, n)`` tells whether a chunk ends before a row of n tokens, and after it.
 
-    segments: doc_id, seq, start, end, n_tokens and others. A recording's segments
-    stream through one task in order, a few numbers held at a time; the rule is
-    sequential, so a recording can't be cut further.
+    A recording's rows stream through one task in order, a few numbers held at a time;
+    such rules are sequential, so a recording can't be cut further.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,16 +75,49 @@ def transcript_chunks(segments: DataFrame, target: int = 384, most: int = 512) -
             for d, n in zip(pdf["doc_id"], pdf["n_tokens"].fillna(0).astype(int)):
                 if d != doc:
                     doc, chunk, held = d, 0, 0
-                elif held and held + n > most:
+                before, after = step(held, n)
+                if before:
                     chunk, held = chunk + 1, 0
                 out.append(chunk)
                 held += n
-                if held >= target:
+                if after:
                     chunk, held = chunk + 1, 0
             yield pdf.assign(chunk_no=pd.Series(out, dtype="int32"))
 
-    schema = segments.withColumn("chunk_no", F.lit(0)).schema
-    return segments.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInPandas(run, schema)
+    schema = rows.withColumn("chunk_no", F.lit(0)).schema
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInPandas(run, schema)
+
+
+def visual_chunks(frames_: DataFrame, most: int = 512) -> DataFrame:
+    """Chunks of a recording without speech: doc_id, chunk_no, start, end, n_frames, speaker, text.
+
+    frames: doc_id, timestamp, description, n_tokens. Frames are grouped in order of
+    time while they fit ``most`` tokens; one that is over it stands alone.
+    """
+    grouped = _numbered(frames_, ["timestamp", "description"], lambda held, n: (held > 0 and held + n > most, n > most))
+    line = F.struct("timestamp", F.concat(F.lit("[Visual "), T.clock(F.col("timestamp")), F.lit("] "), F.coalesce("description", F.lit(""))).alias("line"))
+    each = grouped.groupBy("doc_id", "chunk_no").agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count("*").alias("n_frames"), F.sort_array(F.collect_list(line)).alias("lines"))
+    return each.select("doc_id", "chunk_no", "start", "end", "n_frames", F.lit("UNKNOWN").alias("speaker"), F.array_join(F.col("lines.line"), "\n\n").alias("text"))
+
+
+def chunk_texts(bundled: DataFrame) -> DataFrame:
+    """doc_id, chunk_no and text of bundled segments: their stripped texts in order, a blank line between; chunks without any are left out."""
+    said = bundled.select("doc_id", "chunk_no", "seq", T.strip(F.col("text")).alias("text")).where("text <> ''")
+    parts = said.groupBy("doc_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("parts"))
+    return parts.select("doc_id", "chunk_no", F.array_join(F.col("parts.text"), "\n\n").alias("text"))
+
+
+def transcript_chunks(segments: DataFrame, target: int = 384, most: int = 512) -> DataFrame:
+    """Adds chunk_no (from 0): consecutive segments bundled up to ``target``, never over ``most`` tokens but for a segment that is alone over it.
+
+    segments: doc_id, seq, start, end, n_tokens and others.
+    """
+
+    def step(held: int, n: int) -> tuple[bool, bool]:
+        before = held > 0 and held + n > most
+        return before, (0 if before else held) + n >= target
+
+    return _numbered(segments, ["seq"], step)
 
 
 def with_overlap(bundled: DataFrame, most: int = 512) -> DataFrame:

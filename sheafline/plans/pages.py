@@ -13,7 +13,7 @@ from sheafline.session import read
 _UUID = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-def _node_id_sql(prefix: str, seed: str) -> str:
+def node_id_sql(prefix: str, seed: str) -> str:
     h = f"sha1(unhex('{_UUID}') || encode({seed}))"
     nib = f"substr('89ab', ((('0x' || substr(h, 17, 1))::int) % 4) + 1, 1)"
     return f"(select '{prefix}_' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || {nib} || substr(h, 18, 3) || '-' || substr(h, 21, 12) from (select {h} as h))"
@@ -73,14 +73,14 @@ _KNOWN = ", ".join(repr(x) for x in sorted(formats.ROUTE_OF))
 _KIND = "case " + " ".join(f"when ext in ({', '.join(repr(x.upper()) for x in formats.EXTENSIONS[k])}) then '{k}'" for k in formats.KINDS) + f" when ext in ({_KNOWN}) then ext else '' end"
 _FORMATS = f"f as (select uri, {_KIND} as format from (select uri, upper(regexp_extract(uri, '\\.([A-Za-z0-9]+)$', 1)) as ext from (select distinct uri from uir_raw)))"
 _BOX = "coalesce(len(bounding_box) = 4 and len(list_filter(bounding_box, lambda v: v is not null and v >= 0 and v <= 1000)) = 4 and bounding_box[1] <= bounding_box[3] and bounding_box[2] <= bounding_box[4], false)"
-_RUNS = f"""{CHUNKS_SQL}, p as (select *, coalesce(section_path, '') as sp, lag(coalesce(section_path, '')) over (partition by doc_id order by chunk_index, chunk_id) as before from c),
+RUNS_SQL = f"""{CHUNKS_SQL}, p as (select *, coalesce(section_path, '') as sp, lag(coalesce(section_path, '')) over (partition by doc_id order by chunk_index, chunk_id) as before from c),
 o as (select *, sum(case when sp = '' or before is null or before <> sp then 1 else 0 end) over (partition by doc_id order by chunk_index, chunk_id rows unbounded preceding)::bigint - 1 as child_no from p)"""
 _LINES = f"""{WORDS_SQL}, l0 as (select *, case when abs(y1 - lag(y1) over (partition by doc_id, page order by y1, x1, word_id)) >= 12 then 1 else 0 end as nl from w),
 l as (select *, sum(nl) over (partition by doc_id, page order by y1, x1, word_id rows unbounded preceding)::bigint as line_no from l0)"""
 _ENT = f"""{CHUNKS_SQL}, x as (select doc_id, chunk_id, {" || ".join(f"list_transform(regexp_extract_all(coalesce(text, ''), '{p}', 1), lambda t: {{'text': t, 'type': '{k}'}})" for k, p in enrich.PATTERNS.items())} as es from c),
 e as (select doc_id, chunk_id, pos, es[pos + 1].text as text, es[pos + 1].type as type, case es[pos + 1].type when 'ORG' then 0.90::double when 'DATE' then 0.70::double when 'QUANTITY' then 0.72::double when 'LAW' then 0.78::double end as confidence
   from (select doc_id, chunk_id, es, unnest(range(len(es))) as pos from x))"""
-_DIST = f"{_ENT}, u as (select * from e qualify row_number() over (partition by doc_id, lower(text), type order by confidence desc, chunk_id, pos) = 1)"
+ENTITY_SQL = f"{_ENT}, u as (select * from e qualify row_number() over (partition by doc_id, lower(text), type order by confidence desc, chunk_id, pos) = 1)"
 _PAIRS = f"""{_ENT}, q as (select a.doc_id, a.chunk_id, a.pos as i, b.pos as j, a.text as from_text, b.text as to_text, a.confidence as ca, b.confidence as cb from e a join e b on a.chunk_id = b.chunk_id and a.pos < b.pos and a.text <> b.text),
 q1 as (select * from q qualify row_number() over (partition by chunk_id, least(from_text, to_text), greatest(from_text, to_text) order by i, j) = 1),
 q2 as (select *, row_number() over (partition by chunk_id order by i, j) as rank from q1 qualify rank <= 20)"""
@@ -97,14 +97,14 @@ SQL = {
     "markdown_tables": "with t as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: starts_with(ltrim(l), '|') and not contains(l, '---')) as ls from documents) select doc_id, len(ls) as n_rows, greatest(length(ls[1]) - length(replace(ls[1], '|', '')) - 1, 0) as n_cols from t where len(ls) > 0",
     "split_decimals": r"""with n as (select doc_id, regexp_replace(text, '(\d),(\d)', '\1 . \2', 'g') as text from documents where text is not null)
         select doc_id, length(regexp_replace(regexp_replace(text, '(\d)\s+\.\s*(\d)', '\1.\2', 'g'), '(\d)\s+\.\s*(\d)', '\1.\2', 'g')) as n_chars from n""",
-    "deterministic_ids": f"with {CHUNKS_SQL} select chunk_id, {_node_id_sql('chunk', chr(39) + 'chunk|' + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || chunk_index || ' + chr(39) + '|' + chr(39) + ' || substring(coalesce(text, ' + chr(39) * 2 + '), 1, 64)')} as node_id from c",
-    "document_ids": f"select uri, {_node_id_sql('doc', chr(39) + 'doc|' + chr(39) + ' || uri')} as doc_node from (select distinct uri from uir_raw)",
+    "deterministic_ids": f"with {CHUNKS_SQL} select chunk_id, {node_id_sql('chunk', chr(39) + 'chunk|' + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || chunk_index || ' + chr(39) + '|' + chr(39) + ' || substring(coalesce(text, ' + chr(39) * 2 + '), 1, 64)')} as node_id from c",
+    "document_ids": f"select uri, {node_id_sql('doc', chr(39) + 'doc|' + chr(39) + ' || uri')} as doc_node from (select distinct uri from uir_raw)",
     "id_validation": f"with {CHUNKS_SQL} select chunk_id, coalesce(regexp_matches(chunk_id, '^chunk_[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$'), false) as ok from c",
     "format_route": f"with {_FORMATS} select uri, format, {_ROUTE} as route, {_MIME} as mime_type from f",
     "route_counts": f"with {_FORMATS} select {_ROUTE} as route, count(*) as n_files from f group by 1",
     "chunk_neighbours": f"with {CHUNKS_SQL} select doc_id, chunk_id, lag(chunk_id) over o as preceding_chunk_id, lead(chunk_id) over o as following_chunk_id from c window o as (partition by doc_id order by chunk_index, chunk_id)",
-    "section_islands": f"with {_RUNS} select doc_id, chunk_id, child_no, case when sp <> '' then {_node_id_sql('section', chr(39) + 'section|' + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || child_no || ' + chr(39) + '|' + chr(39) + ' || sp')} end as section_id from o",
-    "assembled_sections": f"with {_RUNS} select doc_id, child_no, max(section_path) as title, count(*) as n_chunks, min(chunk_index) as first_index, max(chunk_index) as last_index, min(page) as page from o group by doc_id, child_no",
+    "section_islands": f"with {RUNS_SQL} select doc_id, chunk_id, child_no, case when sp <> '' then {node_id_sql('section', chr(39) + 'section|' + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || child_no || ' + chr(39) + '|' + chr(39) + ' || sp')} end as section_id from o",
+    "assembled_sections": f"with {RUNS_SQL} select doc_id, child_no, max(section_path) as title, count(*) as n_chunks, min(chunk_index) as first_index, max(chunk_index) as last_index, min(page) as page from o group by doc_id, child_no",
     "section_carry": f"""with {REGIONS_SQL}, h as (select *, coalesce(label = 'heading', false) as is_first, case when label = 'heading' then case when regexp_matches(coalesce(text, ''), '^\\s*(\\d+(?:\\.\\d+)*)[\\.\\s]+(\\S.{{2,}})$') then regexp_extract(text, '^\\s*(\\d+(?:\\.\\d+)*)[\\.\\s]+(\\S.{{2,}})$', 1)
         else regexp_replace(regexp_replace(coalesce(text, ''), {_STOP}, '', 'g'), '\\.+$', '') end end as path from r)
         select region_id, coalesce(last_value(path ignore nulls) over o, '') as section_path, is_first, coalesce(lead(is_first) over (partition by doc_id order by page, reading_order, region_id), true) as is_last from h
@@ -119,9 +119,9 @@ SQL = {
           when len(string_split_regex(text, '\\s+')) <= 6 and not regexp_matches(text, '[.!?:;]\\s*$') then 'heading' else 'paragraph' end as label,
           text, n_words, round(greatest(0.0, least(1.0, conf / n_words)), 6) as confidence, x1, y1, x2, y2 from z""",
     "entities": f"with {_ENT} select chunk_id, pos, text, type, confidence from e",
-    "entity_dedupe": f"with {_DIST} select doc_id, text, type, confidence from u",
-    "topic_top5": f"with {_DIST}, t as (select doc_id, lower(trim(text)) as topic, count(*) as n_types, min((chunk_id, pos)) as seen from u group by 1, 2) select doc_id, topic, n_types, row_number() over (partition by doc_id order by n_types desc, seen, topic) as rank from t qualify rank <= 5",
+    "entity_dedupe": f"with {ENTITY_SQL} select doc_id, text, type, confidence from u",
+    "topic_top5": f"with {ENTITY_SQL}, t as (select doc_id, lower(trim(text)) as topic, count(*) as n_types, min((chunk_id, pos)) as seen from u group by 1, 2) select doc_id, topic, n_types, row_number() over (partition by doc_id order by n_types desc, seen, topic) as rank from t qualify rank <= 5",
     "cooccurrence_pairs": f"with {_PAIRS} select chunk_id, from_text, to_text, round((ca + cb) / 2, 3) as confidence, rank from q2",
-    "boilerplate_entities": f"with {_DIST} select doc_id, text, type from u where not regexp_matches(text, '{_DROPPED}')",
+    "boilerplate_entities": f"with {ENTITY_SQL} select doc_id, text, type from u where not regexp_matches(text, '{_DROPPED}')",
     "boilerplate_relations": f"with {_PAIRS}, u as (select * from e qualify row_number() over (partition by doc_id, lower(text), type order by confidence desc, chunk_id, pos) = 1), k as (select distinct doc_id, text from u where not regexp_matches(text, '{_DROPPED}')) select doc_id, chunk_id, from_text, to_text from q2 semi join k k1 on q2.doc_id = k1.doc_id and q2.from_text = k1.text semi join k k2 on q2.doc_id = k2.doc_id and q2.to_text = k2.text",
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
-from sheafline.operators import chunking, citations, library, media, render, throttle
+from sheafline.operators import chunking, citations, documents, library, media, render, throttle
+from sheafline.plans.pages import node_id_sql
 from sheafline.plans.tables import CHUNKS_SQL, MESSAGES_SQL, SEGMENTS_SQL, chunks, messages, segments
 from sheafline.session import read
 
@@ -55,6 +56,11 @@ def _overlapped(s: SparkSession, d: str) -> DataFrame:
     return media.chunk_summary(media.with_overlap(media.transcript_chunks(segments(s, d).drop("text"))))
 
 
+def _described(s: SparkSession, d: str) -> DataFrame:
+    """Segments taken for frames with a description."""
+    return segments(s, d).select("doc_id", F.col("start").alias("timestamp"), "text", "seq", (F.coalesce("n_tokens", F.lit(0)) * 4).alias("n_tokens")).where("timestamp is not null").withColumn("description", F.concat_ws(" ", F.col("seq").cast("string"), "text"))
+
+
 def _replies(s: SparkSession, d: str) -> DataFrame:
     """Assistant messages whose stored citations are written into the text."""
     pages = F.regexp_extract_all(F.coalesce("citations", F.lit("")), F.lit(r'"page": ?(\d+)'), 1)
@@ -101,6 +107,10 @@ QUERIES = {
     "speaker_counts": lambda s, d: media.speaker_counts(segments(s, d)),
     "transcript_chunks": _bundled,
     "transcript_overlap": _overlapped,
+    "transcript_texts": lambda s, d: media.chunk_texts(media.transcript_chunks(segments(s, d))),
+    "transcript_nodes": lambda s, d: documents.media_nodes(media.chunk_texts(media.transcript_chunks(segments(s, d)))).select("doc_id", "node_id", "preceding_chunk_id", "following_chunk_id"),
+    "visual_chunks": lambda s, d: media.visual_chunks(_described(s, d)).drop("speaker"),
+    "citation_lists": lambda s, d: messages(s, d).select("id", F.posexplode(library.citation_list(F.col("citations"))).alias("no", "c")).select("id", F.col("no").cast("long").alias("no"), F.col("c.page").cast("long").alias("page"), F.col("c.title").alias("title")),
     "login_throttle": lambda s, d: throttle.refused(_events(s, d)).select("event_id", "refused"),
     "chunk_documents": lambda s, d: chunking.chunked(read(s, d, "documents")),
     "paginate_documents": lambda s, d: chunking.paginated(read(s, d, "documents")),
@@ -111,6 +121,13 @@ _MEM = f"{MESSAGES_SQL}, mb as (select distinct conversation_id, lower(trim(send
 _BUSY = "(select email from mb group by email order by count(*) desc, email limit 1)"
 _SUM = "t as (select conversation_id, substring(regexp_replace(regexp_replace(coalesce(arg_max_null(content, id), ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g'), 1, 120) as last_preview, arg_max_null(role, id) as last_role, count(*) as message_count, max(created_at) as updated_at from m where conversation_id is not null group by conversation_id)"
 _JOBS = "j as (select doc_id as job_id, folder_id, title as filename, created_at as submitted_at from documents), f as (select distinct folder_id from j where folder_id is not null)"
+_BUNDLED = f"""{SEGMENTS_SQL}, o as (select *, coalesce(n_tokens, 0) as n, row_number() over (partition by doc_id order by seq) as rn from s),
+        r as (select doc_id, rn, 0 as chunk_no, case when n >= 384 then 1 else 0 end as next, case when n >= 384 then 0 else n end as held from o where rn = 1
+          union all select doc_id, rn, c, c + case when h >= 384 then 1 else 0 end, case when h >= 384 then 0 else h end from (
+            select o.doc_id, o.rn, r.next + case when r.held > 0 and r.held + o.n > 512 then 1 else 0 end as c, case when r.held > 0 and r.held + o.n > 512 then 0 else r.held end + o.n as h
+            from r join o on o.doc_id = r.doc_id and o.rn = r.rn + 1)),
+b as (select o.*, r.chunk_no from o join r on o.doc_id = r.doc_id and o.rn = r.rn)"""
+_SAID = "said as (select doc_id, chunk_no, string_agg(t, chr(10) || chr(10) order by seq) as text from (select *, regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as t from b) where t <> '' group by 1, 2)"
 _FULL = "(select folder_id from j where folder_id is not null group by 1 order by count(*) desc, folder_id limit 1)"
 _FRAMES = f"""{SEGMENTS_SQL}, du as (select doc_id, max(stop) + 45 as d from s group by doc_id),
 st as (select doc_id, d, case when d <= 60 then 5.0 when d <= 300 then 10.0 else greatest(30.0, d / 20) end::double as k from du where d >= 0),
@@ -152,15 +169,22 @@ SQL = {
         b as (select *, case when is_section then '## ' || coalesce(title, '(unnamed section)') || chr(10) || chr(10) || part else part end as block from s),
         d as (select doc_id, string_agg(block, chr(10) || chr(10) order by child_no) as body, count(*) filter (where is_section) as n, first(title order by child_no) filter (where is_section) as head, list('- ' || coalesce(title, '(unnamed section)') order by child_no) filter (where is_section) as entries from b group by doc_id)
         select doc_id, '# ' || coalesce(head, 'Untitled document') || chr(10) || chr(10) || case when n > 0 then '**Contents:**' || chr(10) || chr(10) || array_to_string(entries[1:50] || case when n > 50 then ['- …(' || (n - 50) || ' more sections)'] else [] end, chr(10)) || chr(10) || '---' || chr(10) || chr(10) else '' end || body || chr(10) as markdown from d""",
-    "transcript_chunks": f"""with recursive {SEGMENTS_SQL}, o as (select *, coalesce(n_tokens, 0) as n, row_number() over (partition by doc_id order by seq) as rn from s),
-        r as (select doc_id, rn, 0 as chunk_no, case when n >= 384 then 1 else 0 end as next, case when n >= 384 then 0 else n end as held from o where rn = 1
-          union all select doc_id, rn, c, c + case when h >= 384 then 1 else 0 end, case when h >= 384 then 0 else h end from (
-            select o.doc_id, o.rn, r.next + case when r.held > 0 and r.held + o.n > 512 then 1 else 0 end as c, case when r.held > 0 and r.held + o.n > 512 then 0 else r.held end + o.n as h
-            from r join o on o.doc_id = r.doc_id and o.rn = r.rn + 1)),
-        b as (select o.*, r.chunk_no from o join r on o.doc_id = r.doc_id and o.rn = r.rn),
+    "transcript_chunks": f"""with recursive {_BUNDLED},
         k as (select doc_id, chunk_no, speaker, count(*) as c, min(seq) as f from b group by doc_id, chunk_no, speaker qualify row_number() over (partition by doc_id, chunk_no order by c desc, f) = 1),
         g as (select doc_id, chunk_no, min(start) as start, max(stop) as "end", count(*) as n_segments, sum(n_tokens)::bigint as n_tokens from b group by all)
         select g.*, k.speaker from g join k on g.doc_id = k.doc_id and g.chunk_no = k.chunk_no""",
+    "transcript_texts": f"with recursive {_BUNDLED}, {_SAID} select doc_id, chunk_no, text from said",
+    "transcript_nodes": f"""with recursive {_BUNDLED}, {_SAID}, n as (select doc_id, chunk_no, {node_id_sql("chunk", "'chunk|' || doc_id || '|' || chunk_no || '|' || substring(text, 1, 64)")} as node_id from said)
+        select doc_id, node_id, lag(node_id) over w as preceding_chunk_id, lead(node_id) over w as following_chunk_id from n window w as (partition by doc_id order by chunk_no)""",
+    "visual_chunks": f"""with recursive {SEGMENTS_SQL}, o as (select doc_id, start as ts, concat_ws(' ', seq::varchar, text) as line, coalesce(n_tokens, 0) * 4 as n, row_number() over (partition by doc_id order by start, concat_ws(' ', seq::varchar, text)) as rn from s where start is not null),
+        r as (select doc_id, rn, 0 as chunk_no, case when n > 512 then 1 else 0 end as next, case when n > 512 then 0 else n end as held from o where rn = 1
+          union all select doc_id, rn, c, c + case when n > 512 then 1 else 0 end, case when n > 512 then 0 else h + n end from (
+            select o.doc_id, o.rn, o.n, r.next + case when r.held > 0 and r.held + o.n > 512 then 1 else 0 end as c, case when r.held > 0 and r.held + o.n > 512 then 0 else r.held end as h
+            from r join o on o.doc_id = r.doc_id and o.rn = r.rn + 1))
+        select o.doc_id, r.chunk_no, min(ts) as start, max(ts) as "end", count(*) as n_frames,
+          string_agg('[Visual ' || (floor(ts)::int // 60) || ':' || lpad((floor(ts)::int % 60)::varchar, 2, '0') || '] ' || line, chr(10) || chr(10) order by o.rn) as text
+        from o join r on o.doc_id = r.doc_id and o.rn = r.rn group by 1, 2""",
+    "citation_lists": f"with {MESSAGES_SQL}, j as (select id, from_json(citations, '[{{\"title\":\"VARCHAR\",\"page\":\"BIGINT\"}}]') as c from m where citations is not null and json_valid(citations)) select id, i - 1 as no, c[i].page as page, c[i].title as title from (select id, c, unnest(range(1, len(c) + 1)) as i from j)",
     "login_throttle": """with recursive o as (select event_id, user_id, epoch_us(ts) / 1e6 as t, event_type <> 'purchase' as failed, row_number() over (partition by user_id order by epoch_us(ts) / 1e6, event_id) as rn from events where user_id is not null and ts is not null),
         r as (select event_id, user_id, rn, false as refused, case when failed then 1 else 0 end as c, t as b, 0::double as u from o where rn = 1
           union all select event_id, user_id, rn, no, case when no then c when not failed then 0 when k >= 5 then 0 else k end, case when no then b when not failed then t when k >= 5 then t when fresh then t else b end, case when no then u when failed and k >= 5 then t + 900 else 0 end from (
