@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 A, Q, F_, S, D = range(5)
 LABELS = ("authored", "quoted", "forwarded", "signature", "disclaimer")
 _NO = -1e9
+#: Lines of a signature beyond which each costs, and the cost of a signature or disclaimer that holds none of its cues.
+LONGEST_SIGNATURE = 8
+WITHOUT_CUE = 3.0
 #: Longest span in units; longer ones go on as another span of the same label at no cost.
 MAX_UNITS = 24
 
@@ -77,6 +80,8 @@ STARTS = {
     "signature": {"closing": 2.0, "dash": 3.0, "device": 1.0, "contact": -1.0, "name": -1.0},
     "disclaimer": {"strong": 1.0, "stars": 2.0},
 }
+#: Units that a span of a label should hold one of.
+CUES = {S: ("closing", "dash", "device", "contact", "name"), D: ("strong", "stars", "weak")}
 _OTHER = {"authored": 0.0, "quoted": _NO, "forwarded": _NO, "signature": -6.0, "disclaimer": -6.0}
 #: Transitions, from row to column.
 MOVES = (
@@ -135,6 +140,28 @@ def kinds_of(lines: list[str]) -> list[str]:
     return out
 
 
+def entered(i: int, before: list[float], start: list[float], kind: str) -> list[tuple[int, float, int | None]]:
+    """(label, score, label before) of the best way to begin a span at unit i, for each label that can.
+
+    Quoted and forwarded spans begin with their cues, or go on after one of their own.
+    """
+    out: list[tuple[int, float, int | None]] = []
+    for lab in range(5):
+        own = start[lab]
+        if i and before[lab] > _NO and (lab == F_ or lab == Q and kind in ("prefix", "intro", "blank")):
+            own = max(own, 0.0)
+        if own <= _NO:
+            continue
+        if i == 0:
+            out.append((lab, own, None))
+        else:
+            alone = lab in (F_, Q) and start[lab] <= _NO
+            score, prev = max((before[p] + MOVES[p][lab], -p) for p in range(5) if not alone or p == lab)
+            if score > _NO:
+                out.append((lab, score + own, -prev))
+    return out
+
+
 def decode(text: str) -> list[tuple[int, int, int]]:
     """Spans (label, first line, end line) of a text, lines split at line feeds and counted from 0."""
     lines = [x.rstrip("\r") for x in text.split("\n")]
@@ -154,35 +181,26 @@ def decode(text: str) -> list[tuple[int, int, int]]:
         for lab in range(5):
             sums[lab][u + 1] = sums[lab][u] + KINDS[kind][lab] * size
     starts = [[STARTS[name].get(units[u][0], _OTHER[name]) for name in LABELS] for u in range(n)]
+    cues = [[0] * (n + 1) for _ in LABELS]  # units that speak for a signature or a disclaimer
+    for u, (kind, _, _) in enumerate(units):
+        for lab in (S, D):
+            cues[lab][u + 1] = cues[lab][u] + (kind in CUES[lab])
     best = [[_NO * 2] * 5 for _ in range(n + 1)]
     back: list[list] = [[None] * 5 for _ in range(n + 1)]
+    enter: list[list[tuple[int, float, int | None]]] = []  # the best way to a span of each label that starts with unit i
     best[0] = [0.0] * 5
     for j in range(1, n + 1):
+        enter.append(entered(j - 1, best[j - 1], starts[j - 1], units[j - 1][0]))
+        here, from_ = best[j], back[j]
         for i in range(max(0, j - MAX_UNITS), j):
-            before = best[i]
-            for lab in range(5):
-                start = starts[i][lab]
-                if i and lab in (Q, F_) and before[lab] > _NO:
-                    start = max(start, 0.0) if units[i][0] in ("prefix", "intro", "blank") or lab == F_ else start
-                if start <= _NO:
-                    continue
-                span = sums[lab][j] - sums[lab][i] + start
+            for lab, way, prev in enter[i]:
+                total = way + sums[lab][j] - sums[lab][i]
                 if lab == S:
-                    span -= 2.0 * max(0, filled[j] - filled[i] - 8)
-                if i == 0:
-                    total, prev = span, None
-                else:
-                    total, prev = _NO * 2, None
-                    for p in range(5):
-                        if lab == F_ and p != F_ and starts[i][F_] <= _NO:
-                            continue
-                        if lab == Q and p != Q and starts[i][Q] <= _NO:
-                            continue
-                        score = before[p] + MOVES[p][lab] + span
-                        if score > total:
-                            total, prev = score, p
-                if total > best[j][lab]:
-                    best[j][lab], back[j][lab] = total, (i, prev)
+                    total -= 2.0 * max(0, filled[j] - filled[i] - LONGEST_SIGNATURE)
+                if lab in CUES and cues[lab][j] == cues[lab][i] and prev != lab:
+                    total -= WITHOUT_CUE
+                if total > here[lab]:
+                    here[lab], from_[lab] = total, (i, prev)
     spans = []
     j, lab = n, max(range(5), key=lambda x: best[n][x])
     while j > 0:
