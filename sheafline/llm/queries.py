@@ -92,6 +92,27 @@ def _p10_canonical_sql() -> str:
         from k left join g on shows and nfc_normalize(form) = look"""
 
 
+def _p4_sql() -> str:
+    """The stated rule of turns. Looking ahead is written as reading on, and phrases in a row are met by a second pass."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    label = transcripts.LABEL.replace(r"-(?=\s)", r"-\s").replace(r"(?=\s|$)", r"(?:\s|$)")
+    body = "line"
+    for pattern in (transcripts._TIMING, label, transcripts._MARK, transcripts._NOTE):
+        body = f"regexp_replace({body}, {quote(pattern)}, ' ', 'g')"
+    phrase = quote(r"(?i)(^|[^\p{L}\p{N}])(?:you know|i mean)(?:[,.…]+|([^\p{L}\p{N}'’,.…-])|$)")
+    body = f"regexp_replace(regexp_replace({body}, {phrase}, '\\1 \\2', 'g'), {phrase}, '\\1 \\2', 'g')"
+    given = quote(r"(?i)^\s*(?:speaker|spkr|spk|s)?[\s_.\-#]*0*(\d{1,3})\s*$")
+    return f"""with once as (select distinct on (draft_id) draft_id, doc_id, coalesce(text, '') as text, coalesce(modal_features.audio_segment.start_s, 'inf'::double) as begin_s, modal_features.audio_segment.speaker as given from transcript_drafts where draft_id is not null),
+        ln as (select draft_id, doc_id, begin_s, given, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from (select *, string_split_regex(text, '\\r\\n|\\n|\\r') as ls from once)),
+        lb as (select *, nullif(regexp_extract(line, {quote(label)}, 1), '')::int as own, nullif(regexp_extract(given, {given}, 1), '')::int as given_no,
+          case when regexp_matches(line, {quote(transcripts._CUE)}) then 0 else len(list_filter(string_split_regex({body}, '[\\s\\p{{Z}}]+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]') and not regexp_matches(x, {quote(transcripts.HESITATION)}))) end as n from ln),
+        sp as (select *, coalesce(last_value(own ignore nulls) over (partition by draft_id order by line_no rows unbounded preceding), given_no) as who from lb),
+        nm as (select doc_id, begin_s, draft_id, line_no, n, case when who is null then 'UNKNOWN' else 'SPEAKER_' || case when who < 10 then '0' else '' end || who end as speaker from sp where n > 0),
+        nw as (select *, case when speaker is distinct from lag(speaker) over (partition by doc_id order by begin_s, draft_id, line_no) then 1 else 0 end as opens from nm),
+        tn as (select *, sum(opens) over (partition by doc_id order by begin_s, draft_id, line_no rows unbounded preceding)::bigint as turn from nw)
+        select doc_id, turn, any_value(speaker) as speaker, sum(n)::bigint as n_words from tn group by doc_id, turn"""
+
+
 def _p8_sql() -> str:
     grams = "select {0}, list_aggregate(w[i:i + 19], 'string_agg', ' ') as g from (select {0}, w, unnest(range(1, len(w) - 18)) as i from {1} where len(w) >= 20)"
     words = "(select {0}, regexp_extract_all(lower({1}), '[\\p{{L}}\\p{{N}}]+') as w from {2} where text is not null)"
@@ -135,6 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_SQL,
         "p2_most_similar": P2_MOST_SQL,
         "p3_found": P3_SQL,
+        "p4_found": _p4_sql(),
         "p8_found": _p8_sql(),
         "p10_found": _p10_sql(),
         "p10_canonical": _p10_canonical_sql(),
