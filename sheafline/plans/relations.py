@@ -61,6 +61,12 @@ def _described(s: SparkSession, d: str) -> DataFrame:
     return segments(s, d).select("doc_id", F.col("start").alias("timestamp"), "text", "seq", (F.coalesce("n_tokens", F.lit(0)) * 4).alias("n_tokens")).where("timestamp is not null").withColumn("description", F.concat_ws(" ", F.col("seq").cast("string"), "text"))
 
 
+def _filtered(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of tables and headings only, with what is known of the documents."""
+    meta = chunks(s, d).groupBy("doc_id").agg(F.max("page").alias("page_count"), F.lit("en").alias("language"))
+    return render.markdown(chunks(s, d), chunks(s, d).where("region_kind in ('table', 'heading')").select("doc_id", "chunk_id"), meta, "tables and headings")
+
+
 def _replies(s: SparkSession, d: str) -> DataFrame:
     """Assistant messages whose stored citations are written into the text."""
     pages = F.regexp_extract_all(F.coalesce("citations", F.lit("")), F.lit(r'"page": ?(\d+)'), 1)
@@ -115,6 +121,7 @@ QUERIES = {
     "chunk_documents": lambda s, d: chunking.chunked(read(s, d, "documents")),
     "paginate_documents": lambda s, d: chunking.paginated(read(s, d, "documents")),
     "render_markdown": lambda s, d: render.markdown(chunks(s, d)),
+    "render_filtered": _filtered,
 }
 
 _MEM = f"{MESSAGES_SQL}, mb as (select distinct conversation_id, lower(trim(sender_email)) as email from m where conversation_id is not null and sender_email is not null)"
@@ -132,6 +139,18 @@ _FULL = "(select folder_id from j where folder_id is not null group by 1 order b
 _FRAMES = f"""{SEGMENTS_SQL}, du as (select doc_id, max(stop) + 45 as d from s group by doc_id),
 st as (select doc_id, d, case when d <= 60 then 5.0 when d <= 300 then 10.0 else greatest(30.0, d / 20) end::double as k from du where d >= 0),
 fr as (select doc_id, frame_no, round(frame_no * k, 3) as "timestamp" from (select doc_id, k, unnest(range(floor(d / k)::bigint + 1)) as frame_no from st))"""
+_RENDERED = f"""with {CHUNKS_SQL}, p as (select *, coalesce(section_path, '') as sp, lag(coalesce(section_path, '')) over (partition by doc_id order by chunk_index, chunk_id) as before from c where text is not null),
+        o as (select *, sum(case when sp = '' or before is null or before <> sp then 1 else 0 end) over (partition by doc_id order by chunk_index, chunk_id rows unbounded preceding) as child_no from p),
+        s as (select doc_id, child_no, max(sp) <> '' as is_section, max(nullif(regexp_replace(sp, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')) as title,
+          string_agg('<!-- chunk: ' || chunk_id || ', page: ' || coalesce(page::varchar, '?') || ' -->' || chr(10) || rtrim(regexp_replace(text, '(?m)[ \\t]+$', '', 'g')), chr(10) || chr(10) order by chunk_index, chunk_id) as part from o group by doc_id, child_no),
+        b as (select *, case when is_section then '## ' || coalesce(title, '(unnamed section)') || chr(10) || chr(10) || part else part end as block from s),
+        d as (select doc_id, string_agg(block, chr(10) || chr(10) order by child_no) as body, count(*) filter (where is_section) as n, first(title order by child_no) filter (where is_section) as head, list('- ' || coalesce(title, '(unnamed section)') order by child_no) filter (where is_section) as entries from b group by doc_id)
+        select doc_id, '# ' || coalesce(head, 'Untitled document') || chr(10) || chr(10) || case when n > 0 then '**Contents:**' || chr(10) || chr(10) || array_to_string(entries[1:50] || case when n > 50 then ['- …(' || (n - 50) || ' more sections)'] else [] end, chr(10)) || chr(10) || '---' || chr(10) || chr(10) else '' end || body || chr(10) as markdown from d"""
+_KINDS = "region_kind in ('table', 'heading')"
+_EYEBROW = (
+    "coalesce((select '*' || case when max(page) > 0 then 'pages: ' || max(page) || ' · ' else '' end || 'language: en*' || chr(10) || chr(10) from c where c.doc_id = d.doc_id), '')"
+    f" || case when d.doc_id in (select doc_id from c where {_KINDS}) then '{render.banner('tables and headings').rstrip()}' || chr(10) || chr(10) else '' end"
+)
 SQL = {
     "thread_summaries": f"with {MESSAGES_SQL}, {_SUM} select * from t",
     "thread_list": f"with {_MEM}, {_SUM}, me as (select {_BUSY} as e) select t.*, (select min(email) from mb p, me where p.conversation_id = t.conversation_id and p.email <> me.e) as peer_email from t where conversation_id in (select conversation_id from mb, me where mb.email = me.e)",
@@ -162,13 +181,9 @@ SQL = {
         select id, case when len(bad) > 0 then regexp_replace(regexp_replace(regexp_replace(list_reduce(list_prepend(reply, list_transform(bad, lambda b: b::varchar)), lambda acc, b: regexp_replace(acc, '(^|[^\\w\\]])\\[' || b || '\\]', '\\1', 'g')), '[ \\t]{{2,}}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') else reply end as cleaned,
           array_to_string(list_transform(list_filter(ns, lambda x, i: x between 1 and 15 and list_position(ns, x) = i), lambda x: x::varchar), ',') as cited,
           array_to_string(list_transform(list_sort(bad), lambda x: x::varchar), ',') as invalid from g""",
-    "render_markdown": f"""with {CHUNKS_SQL}, p as (select *, coalesce(section_path, '') as sp, lag(coalesce(section_path, '')) over (partition by doc_id order by chunk_index, chunk_id) as before from c where text is not null),
-        o as (select *, sum(case when sp = '' or before is null or before <> sp then 1 else 0 end) over (partition by doc_id order by chunk_index, chunk_id rows unbounded preceding) as child_no from p),
-        s as (select doc_id, child_no, max(sp) <> '' as is_section, max(nullif(regexp_replace(sp, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')) as title,
-          string_agg('<!-- chunk: ' || chunk_id || ', page: ' || coalesce(page::varchar, '?') || ' -->' || chr(10) || rtrim(regexp_replace(text, '(?m)[ \\t]+$', '', 'g')), chr(10) || chr(10) order by chunk_index, chunk_id) as part from o group by doc_id, child_no),
-        b as (select *, case when is_section then '## ' || coalesce(title, '(unnamed section)') || chr(10) || chr(10) || part else part end as block from s),
-        d as (select doc_id, string_agg(block, chr(10) || chr(10) order by child_no) as body, count(*) filter (where is_section) as n, first(title order by child_no) filter (where is_section) as head, list('- ' || coalesce(title, '(unnamed section)') order by child_no) filter (where is_section) as entries from b group by doc_id)
-        select doc_id, '# ' || coalesce(head, 'Untitled document') || chr(10) || chr(10) || case when n > 0 then '**Contents:**' || chr(10) || chr(10) || array_to_string(entries[1:50] || case when n > 50 then ['- …(' || (n - 50) || ' more sections)'] else [] end, chr(10)) || chr(10) || '---' || chr(10) || chr(10) else '' end || body || chr(10) as markdown from d""",
+    "render_markdown": _RENDERED,
+    "render_filtered": _RENDERED.replace("from o group by", f"from (select * from o where {_KINDS} or doc_id not in (select doc_id from c where {_KINDS})) group by")
+    .replace("case when n > 0 then '**Contents:**'", f"{_EYEBROW} || case when n > 0 then '**Contents:**'"),
     "transcript_chunks": f"""with recursive {_BUNDLED},
         k as (select doc_id, chunk_no, speaker, count(*) as c, min(seq) as f from b group by doc_id, chunk_no, speaker qualify row_number() over (partition by doc_id, chunk_no order by c desc, f) = 1),
         g as (select doc_id, chunk_no, min(start) as start, max(stop) as "end", count(*) as n_segments, sum(n_tokens)::bigint as n_tokens from b group by all)

@@ -24,6 +24,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+_LOCAL: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -34,7 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext._jsc.sc().isLocal():
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="spark-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -53,9 +60,20 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written in this session, once their results are used; returns how many."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One table of a data folder (``<folder>/<table>.parquet``)."""
     return spark.read.parquet(f"{folder}/{table}.parquet")
