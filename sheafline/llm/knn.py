@@ -263,7 +263,7 @@ def in_files(v: DataFrame, reps: DataFrame, kind: str, k: int, floor: float, fil
                 lo.extend([0] * len(plain))
                 hi.extend([0] * len(plain))
                 side.extend([0] * len(plain))
-            e = np.stack(pdf["e"].tolist()).astype("<f4")
+            e = np.rint(127 * x / np.abs(x).max(axis=1, keepdims=True)).astype(np.int8)
             rep = pdf["rep"].to_numpy()
             yield pd.DataFrame({"file": np.array(file, np.int32), "lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32), "side": np.array(side, np.int32), "ask": pdf["ask"].to_numpy()[rows], "rep": rep[rows], "perm": [perm[r].tobytes() for r in rows], "e": [e[r].tobytes() for r in rows]})
 
@@ -273,10 +273,9 @@ def in_files(v: DataFrame, reps: DataFrame, kind: str, k: int, floor: float, fil
         if len(df) < 2:
             return
         ids = df["rep"].to_numpy()
-        x = np.frombuffer(b"".join(df["e"]), "<f4").reshape(len(df), -1).astype(np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        x32 = x.astype(np.float32)
+        x32 = np.frombuffer(b"".join(df["e"]), np.int8).reshape(len(df), -1).astype(np.float32)
+        rough = np.sqrt(x32.shape[1]) / 127  # what rounding to a byte a number can change of a cosine
+        x32 /= np.sqrt((x32 * x32).sum(axis=1, keepdims=True))
         perm = np.frombuffer(b"".join(df["perm"]), np.int16).reshape(len(df), length)
         side, ask = df["side"].to_numpy(), df["ask"].to_numpy()
         if not side.any():
@@ -298,16 +297,21 @@ def in_files(v: DataFrame, reps: DataFrame, kind: str, k: int, floor: float, fil
                 sim = np.where(kept, x32[q] @ x32[ts].T, np.float32(-4))
                 take = min(k + 6, len(ts))
                 near = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-                ok = np.take_along_axis(sim, near, 1) >= max(floor - 1e-4, -3)
-                a, c = np.nonzero(ok)
-                t = ts[near[a, c]]
-                exact = np.einsum("ij,ij->i", x[q[a]], x[t])
-                good = exact >= floor
-                yield pd.DataFrame({"q": ids[q[a]][good], "t": ids[t][good], "similarity": exact[good]})
+                a, c = np.nonzero(np.take_along_axis(sim, near, 1) >= max(floor - rough, -3))
+                yield pd.DataFrame({"q": ids[q[a]], "t": ids[ts[near[a, c]]]})
 
     keys = ["file", "lo", "hi"]
-    met = posted.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each_group(keys, meet), f"q {kind}, t {kind}, similarity double")
-    return met.groupBy("q", "t").agg(F.max("similarity").alias("similarity"))
+    met = posted.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each_group(keys, meet), f"q {kind}, t {kind}").distinct()
+    own = reps.select("rep", "e")
+    both = met.join(own.withColumnsRenamed({"rep": "q", "e": "a"}), "q").join(own.withColumnsRenamed({"rep": "t", "e": "b"}), "t")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                exact = np.einsum("ij,ij->i", _unit(pdf["a"]), _unit(pdf["b"]))
+                yield pdf[["q", "t"]].assign(similarity=exact)[exact >= floor]
+
+    return both.mapInPandas(verify, f"q {kind}, t {kind}, similarity double")
 
 
 def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor: float = -2.0, files: int = FILES, prefix: int = PREFIX, rerank: int | None = None, per_pivot: int = PER_PIVOT, block: int = BLOCK, asked: Column | None = None) -> DataFrame:
