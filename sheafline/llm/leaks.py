@@ -98,7 +98,7 @@ def key_map(keys: DataFrame) -> np.ndarray:
 
 
 def window_keys(texts: DataFrame, key: str, stride: int, known: np.ndarray | None = None, min_words: int = MIN_WORDS, window: int = WINDOW, repeats: int = REPEATS, bits: int = BITS) -> DataFrame:
-    """One row (id, key, around) per window and repetition; around: hashes of the words that an alignment could cover.
+    """One row (id, key, around) per window and repetition; around: 32-bit hashes of the words that an alignment could cover.
 
     Windows begin ``stride`` words apart in each text. ``known`` is a map of keys; windows none of whose keys are in it are left out.
     """
@@ -139,11 +139,14 @@ def window_keys(texts: DataFrame, key: str, stride: int, known: np.ndarray | Non
             else:
                 row, column = np.divmod(np.arange(keys.size), repeats)
             signed = h.astype(np.uint32).view(np.int32)
-            at = places[row]
-            yield pd.DataFrame({"id": pd.Series(ids).iloc[owner[row]].to_numpy(), "key": keys[row, column].view(np.int64), "around": pd.Series([signed[p - side : p + window + side] for p in at], dtype=object)})
+            width = window + 2 * side
+            some, back = np.unique(row, return_inverse=True)  # a window is cut out once, however many of its keys are known
+            cut = signed[(places[some] - side)[:, None] + np.arange(width)].tobytes()
+            around = np.array([cut[i : i + 4 * width] for i in range(0, len(cut), 4 * width)], dtype=object)
+            yield pd.DataFrame({"id": pd.Series(ids).iloc[owner[row]].to_numpy(), "key": keys[row, column].view(np.int64), "around": around[back]})
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(F.col(key).alias("id"), "text").where("text is not null").mapInPandas(run, f"id {kind}, key long, around array<int>")
+    return texts.select(F.col(key).alias("id"), "text").where("text is not null").mapInPandas(run, f"id {kind}, key long, around binary")
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,7 +205,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
         for pdf in batches:
             if not len(pdf):
                 continue
-            a, b = np.stack(pdf["a"].tolist()), np.stack(pdf["b"].tolist())
+            a, b = (np.frombuffer(b"".join(pdf[c]), np.int32).reshape(len(pdf), -1) for c in ("a", "b"))
             kept = could_hold(a, b, min_words, max_edits)
             a, b, pdf = a[kept], b[kept], pdf[kept]
             edits = np.full(len(a), min_words, np.int64)
