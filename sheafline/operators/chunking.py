@@ -99,22 +99,30 @@ def paginate(text: str | None, most: int = PAGE_TOKENS, count: Callable[[str], i
     return [*out, "\n\n".join(held)] if held else out
 
 
-def _each(texts: DataFrame, key: str, cut: Callable[[str | None], list[str]], place: str) -> DataFrame:
-    kind = texts.schema[key].dataType.simpleString()
+def _each(texts: DataFrame, keys: list[str], cut: Callable[[str | None], list[str]], place: str) -> DataFrame:
+    kinds = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys)
+    names = [f"_k{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, i, t, count_tokens(t)) for k, x in zip(pdf["k"], pdf["t"]) for i, t in enumerate(cut(x))]
-            yield pd.DataFrame(rows, columns=[key, place, "text", "token_count"])
+            pieces = [(row, i, t, count_tokens(t)) for row, x in enumerate(pdf["_text"]) for i, t in enumerate(cut(x))]
+            out = pd.DataFrame(pieces, columns=["_row", place, "text", "token_count"])
+            own = pdf[names].iloc[out["_row"].to_numpy(int)].reset_index(drop=True).set_axis(keys, axis=1)
+            yield pd.concat([own, out.drop(columns="_row")], axis=1)
 
-    return texts.select(F.col(key).alias("k"), F.col("text").alias("t")).mapInPandas(run, f"{key} {kind}, {place} int, text string, token_count int")
+    return texts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("text").alias("_text")).mapInPandas(run, f"{kinds}, {place} int, text string, token_count int")
 
 
 def chunked(texts: DataFrame, key: str = "doc_id", target: int = TARGET, pct: int = OVERLAP_PCT, most: int = MAX) -> DataFrame:
     """key, chunk_index (from 0), text, token_count of every text's chunks; null and blank texts have none."""
-    return _each(texts, key, lambda t: chunk(t, target, pct, most), "chunk_index")
+    return _each(texts, [key], lambda t: chunk(t, target, pct, most), "chunk_index")
+
+
+def region_chunks(regions: DataFrame, keys: list[str], target: int = TARGET, pct: int = OVERLAP_PCT, most: int = MAX) -> DataFrame:
+    """The chunks of every region's text, with the region's ``keys`` (its document, page, place and the like)."""
+    return _each(regions, keys, lambda t: chunk(t, target, pct, most), "chunk_index")
 
 
 def paginated(texts: DataFrame, key: str = "doc_id", most: int = PAGE_TOKENS) -> DataFrame:
     """key, page (from 0), text, token_count."""
-    return _each(texts, key, lambda t: paginate(t, most), "page")
+    return _each(texts, [key], lambda t: paginate(t, most), "page")

@@ -119,6 +119,7 @@ QUERIES = {
     "citation_lists": lambda s, d: messages(s, d).select("id", F.posexplode(library.citation_list(F.col("citations"))).alias("no", "c")).select("id", F.col("no").cast("long").alias("no"), F.col("c.page").cast("long").alias("page"), F.col("c.title").alias("title")),
     "login_throttle": lambda s, d: throttle.refused(_events(s, d)).select("event_id", "refused"),
     "chunk_documents": lambda s, d: chunking.chunked(read(s, d, "documents")),
+    "region_chunks": lambda s, d: chunking.region_chunks(read(s, d, "ocr_regions").dropDuplicates(["region_id"]), ["region_id", "doc_id", "page"]),
     "paginate_documents": lambda s, d: chunking.paginated(read(s, d, "documents")),
     "render_markdown": lambda s, d: render.markdown(chunks(s, d)),
     "render_filtered": _filtered,
@@ -151,6 +152,23 @@ _EYEBROW = (
     "coalesce((select '*' || case when max(page) > 0 then 'pages: ' || max(page) || ' · ' else '' end || 'language: en*' || chr(10) || chr(10) from c where c.doc_id = d.doc_id), '')"
     f" || case when d.doc_id in (select doc_id from c where {_KINDS}) then '{render.banner('tables and headings').rstrip()}' || chr(10) || chr(10) else '' end"
 )
+_COUNT = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]'))"
+#: Stripped paragraphs in order, with their tokens.
+_PARTS = (
+    "p0 as (select {keys}, unnest(string_split_regex(coalesce(text, ''), '\\n\\s*\\n+')) as t, generate_subscripts(string_split_regex(coalesce(text, ''), '\\n\\s*\\n+'), 1) as i from {rows}),"
+    " p1 as (select {keys}, i, regexp_replace(t, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as t from p0),"
+    " parts as (select *, row_number() over (partition by {keys} order by i) as rn, " + _COUNT.format("t").replace("{", "{{").replace("}", "}}") + " as n from p1 where t <> '')"
+)
+#: Paragraphs bundled while they fit (no paragraph of these tables has more tokens than fit), and bundles led by the last 16 words before.
+_BUNDLES = (
+    "r as (select {keys}, rn, 0 as no, case when n >= {target} then 1 else 0 end as next, case when n >= {target} then 0 else n end as held from parts where rn = 1"
+    " union all select {keys}, rn, c, c + case when h >= {target} then 1 else 0 end, case when h >= {target} then 0 else h end from ("
+    "select parts.* exclude (rn), parts.rn, r.next + case when r.held > 0 and r.held + n > {most} then 1 else 0 end as c, case when r.held > 0 and r.held + n > {most} then 0 else r.held end + n as h"
+    " from (select * from r) r(" + "{keys}" + ", rn0, no0, next, held) join parts using ({keys}) where parts.rn = rn0 + 1)),"
+    " bundles as (select {keys}, no::int as no, string_agg(t, chr(10) || chr(10) order by rn) as text from parts join r using ({keys}, rn) group by {keys}, no),"
+    " led as (select *, array_to_string((regexp_extract_all(lag(text) over (partition by {keys} order by no), '[^\\s\\p{{Z}}]+'))[-16:], ' ') as tail from bundles)"
+)
+_LED = f"case when tail like '% %' and {_COUNT.format('tail')} + {_COUNT.format('text')} <= 512 then tail || chr(10) || chr(10) || text else text end"
 SQL = {
     "thread_summaries": f"with {MESSAGES_SQL}, {_SUM} select * from t",
     "thread_list": f"with {_MEM}, {_SUM}, me as (select {_BUSY} as e) select t.*, (select min(email) from mb p, me where p.conversation_id = t.conversation_id and p.email <> me.e) as peer_email from t where conversation_id in (select conversation_id from mb, me where mb.email = me.e)",
@@ -181,6 +199,9 @@ SQL = {
         select id, case when len(bad) > 0 then regexp_replace(regexp_replace(regexp_replace(list_reduce(list_prepend(reply, list_transform(bad, lambda b: b::varchar)), lambda acc, b: regexp_replace(acc, '(^|[^\\w\\]])\\[' || b || '\\]', '\\1', 'g')), '[ \\t]{{2,}}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') else reply end as cleaned,
           array_to_string(list_transform(list_filter(ns, lambda x, i: x between 1 and 15 and list_position(ns, x) = i), lambda x: x::varchar), ',') as cited,
           array_to_string(list_transform(list_sort(bad), lambda x: x::varchar), ',') as invalid from g""",
+    "region_chunks": f"with recursive rg as (select distinct on (region_id) * from ocr_regions), {_PARTS.format(rows='rg', keys='region_id, doc_id, page')}, {_BUNDLES.format(keys='region_id, doc_id, page', most=512, target=384)} select region_id, doc_id, page, no as chunk_index, text, {_COUNT.format('text')}::int as token_count from bundles",
+    "chunk_documents": f"with recursive {_PARTS.format(rows='documents', keys='doc_id')}, {_BUNDLES.format(keys='doc_id', most=512, target=384)} select doc_id, no as chunk_index, {_LED} as text, {_COUNT.format(_LED)}::int as token_count from led",
+    "paginate_documents": f"with recursive {_PARTS.format(rows='documents', keys='doc_id')}, {_BUNDLES.format(keys='doc_id', most=2000, target=1000000)} select doc_id, no as page, text, {_COUNT.format('text')}::int as token_count from bundles",
     "render_markdown": _RENDERED,
     "render_filtered": _RENDERED.replace("from o group by", f"from (select * from o where {_KINDS} or doc_id not in (select doc_id from c where {_KINDS})) group by")
     .replace("case when n > 0 then '**Contents:**'", f"{_EYEBROW} || case when n > 0 then '**Contents:**'"),
@@ -188,6 +209,13 @@ SQL = {
         k as (select doc_id, chunk_no, speaker, count(*) as c, min(seq) as f from b group by doc_id, chunk_no, speaker qualify row_number() over (partition by doc_id, chunk_no order by c desc, f) = 1),
         g as (select doc_id, chunk_no, min(start) as start, max(stop) as "end", count(*) as n_segments, sum(n_tokens)::bigint as n_tokens from b group by all)
         select g.*, k.speaker from g join k on g.doc_id = k.doc_id and g.chunk_no = k.chunk_no""",
+    "transcript_overlap": f"""with recursive {_BUNDLED},
+        h as (select doc_id, chunk_no, sum(n) as held from b group by 1, 2), tl as (select * from b qualify row_number() over (partition by doc_id, chunk_no order by seq desc) = 1),
+        x as (select doc_id, chunk_no, seq, start, stop, speaker, n_tokens from b
+          union all select tl.doc_id, h.chunk_no, tl.seq, tl.start, tl.stop, tl.speaker, tl.n_tokens from tl join h on h.doc_id = tl.doc_id and h.chunk_no = tl.chunk_no + 1 where h.held + tl.n <= 512),
+        k as (select doc_id, chunk_no, speaker, count(*) as c, min(seq) as f from x group by doc_id, chunk_no, speaker qualify row_number() over (partition by doc_id, chunk_no order by c desc, f) = 1),
+        g as (select doc_id, chunk_no, min(start) as start, max(stop) as "end", count(*) as n_segments, sum(n_tokens)::bigint as n_tokens from x group by all)
+        select g.*, k.speaker from g join k on g.doc_id = k.doc_id and g.chunk_no = k.chunk_no""",
     "transcript_texts": f"with recursive {_BUNDLED}, {_SAID} select doc_id, chunk_no, text from said",
     "transcript_nodes": f"""with recursive {_BUNDLED}, {_SAID}, n as (select doc_id, chunk_no, {node_id_sql("chunk", "'chunk|' || doc_id || '|' || chunk_no || '|' || substring(text, 1, 64)")} as node_id from said)
         select doc_id, node_id, lag(node_id) over w as preceding_chunk_id, lead(node_id) over w as following_chunk_id from n window w as (partition by doc_id order by chunk_no)""",
