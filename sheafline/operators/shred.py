@@ -1,19 +1,22 @@
 """Nested records as columnar stripes with levels, and tables rebuilt from them.
 
-The node tree of a payload repeats along one path only, ``children``; the leaf
-columns of depth d (id, type, title, page, box) therefore share one pair of
-level sequences. ``shred`` writes, for each depth, one entry per node and one
-empty entry per node of the depth above that has no children:
-
-* repetition level r: the depth at which this entry starts a new element,
-  0 for the first of a record;
-* definition level d: how many repeated ancestors exist, so an entry of the
-  column of depth k holds a node exactly if its definition level is k.
+The node tree of a payload repeats along one path, ``children``; below every node of
+depth d hang the leaf paths id, type, title, page and ``bounding_box``, which repeats
+once more. ``shred`` writes one entry per node of each depth, and one empty entry per
+node of the depth above that has no children, with the levels of every leaf path:
+
+* repetition level ``rep``: the depth at which this entry starts a new element, 0 for
+  the first of a record. It holds for all leaf paths of the entry; of the numbers of a
+  box the first has it and the others have d + 1, the level at which they repeat;
+* definition level ``def``: how many repeated ancestors exist, so an entry of depth k
+  holds a node exactly if it is k. Optional leaves have their own: ``title_def`` and
+  ``page_def`` are k + 1 where the leaf exists, ``box_def`` is k + 2 where the box holds
+  its numbers, k + 1 where it is there without them, and k where it isn't.
 
 ``assemble`` knows only the stripes. Each entry of the depth-k column with a
 repetition level under k begins the children of the next node of depth k-1, so a
 running count of these gives the parent's ordinal, and the place since the
-last of these gives the child's number.
+last of these gives the child's number; a leaf is read where its definition level says so.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIPES = "record long, key string, depth int, ord int, rep int, def int, node_id string, node_type string, title string, page int, box string"
+STRIPES = "record long, key string, depth int, ord int, rep int, def int, node_id string, node_type string, title string, title_def int, page int, page_def int, box array<int>, box_def int"
 _INT = re.compile(r"-?\d+(?:\.\d+)?")
 
 
@@ -88,8 +91,8 @@ def _loads_deep(text: str) -> object:
             value, i = box, i + 1
 
 
-def box_text(value: object) -> str:
-    """``x1,y1,x2,y2`` of a box given as list, object or string; empty if it has no four numbers.
+def box_values(value: object) -> list[int] | None:
+    """x1, y1, x2, y2 of a box given as list, object or string; None if it has no four numbers.
 
     Numbers may be given as strings; fractions are cut to whole numbers.
     """
@@ -97,18 +100,24 @@ def box_text(value: object) -> str:
         s = value.strip()
         if s[:1] in "[{":
             try:
-                return box_text(loads(s))
+                return box_values(loads(s))
             except ValueError:
                 pass
         value = _INT.findall(s)
     elif isinstance(value, dict):
         value = [value.get(k) for k in ("x1", "y1", "x2", "y2")]
     if not isinstance(value, list) or len(value) != 4:
-        return ""
+        return None
     try:
-        return ",".join(str(int(float(x))) for x in value)
+        numbers = [int(float(x)) for x in value]
     except (TypeError, ValueError, OverflowError):
-        return ""
+        return None
+    return numbers if all(abs(x) < 2**31 for x in numbers) else None
+
+
+def box_text(value: object) -> str:
+    """``x1,y1,x2,y2`` of a box, or empty."""
+    return ",".join(map(str, box_values(value) or ()))
 
 
 def as_nodes(value: object) -> list:
@@ -146,7 +155,7 @@ def find_root(payload: object) -> dict | None:
 
 
 def stripes_of(text: str | None) -> list[tuple]:
-    """(depth, ord, rep, def, node_id, node_type, title, page, box) of one payload; none if it isn't complete JSON."""
+    """The stripes' entries of one payload, from ``depth`` on; none if it isn't complete JSON."""
     try:
         root = find_root(loads(text)) if text else None
     except ValueError:
@@ -159,10 +168,14 @@ def stripes_of(text: str | None) -> list[tuple]:
         below: list[tuple] = []
         for ord_, (node, rep, level) in enumerate(column):
             if node is None:
-                out.append((depth, ord_, rep, level, None, None, None, None, None))
+                out.append((depth, ord_, rep, level, None, None, None, level, None, level, None, level))
                 continue
-            page, title = node.get("page"), node.get("title")
-            out.append((depth, ord_, rep, depth, node.get("id"), node.get("type"), title if isinstance(title, str) else None, page if type(page) is int and abs(page) < 2**31 else None, box_text(node.get("bounding_box"))))
+            page, title, box = node.get("page"), node.get("title"), node.get("bounding_box")
+            page = page if type(page) is int and abs(page) < 2**31 else None
+            title = title if isinstance(title, str) else None
+            numbers = box_values(box) if box is not None else None
+            box_def = depth if box is None else depth + 1 if numbers is None else depth + 2
+            out.append((depth, ord_, rep, depth, node.get("id"), node.get("type"), title, depth + (title is not None), page, depth + (page is not None), numbers, box_def))
             kids = as_nodes(node.get("children"))
             below.extend((kid, rep if j == 0 else depth + 1, depth + 1) for j, kid in enumerate(kids))
             if not kids:
@@ -220,6 +233,9 @@ def assemble(stripes: DataFrame) -> DataFrame:
     ).where((F.col("side.at") >= 0))
     parent = Window.partitionBy("record").orderBy("side.at", "side.no", "side.kid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_parent = F.col("side.kid") < 0
+    sides = sides.withColumn("box", F.when(F.col("box_def") == F.col("depth") + 2, F.array_join(F.col("box").cast("array<string>"), ",")).otherwise(""))
+    for leaf in ("title", "page"):
+        sides = sides.withColumn(leaf, F.when(F.col(f"{leaf}_def") == F.col("depth") + 1, F.col(leaf)))
     return (
         sides.withColumn("parent", F.last(F.when(is_parent, F.struct("node_id")), ignorenulls=True).over(parent))
         .where(~is_parent)

@@ -21,6 +21,12 @@ def test_levels():
     ]
 
 
+def test_levels_of_leaves():
+    tree = node(0, node(1, title="t", bounding_box=[1, 2, 3, 4]), node(2, page=7, bounding_box=[1]), node(3, node(4)))
+    got = {s[4]: (s[7], s[9], s[11], s[10]) for s in shred.stripes_of(payload(tree)) if s[4]}
+    assert got == {"section_0": (0, 0, 0, None), "section_1": (2, 1, 3, [1, 2, 3, 4]), "section_2": (1, 2, 2, None), "section_3": (1, 1, 1, None), "section_4": (2, 2, 2, None)}
+
+
 def test_round_trip(spark):
     import random
 
