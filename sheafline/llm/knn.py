@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.operators.filters import maybe_among
 from sheafline.session import stored
 
 #: Vectors per pivot, bounds of the number of pivots (the only sample taken), length of the orders, files per vector.
@@ -265,7 +266,7 @@ def in_files(v: DataFrame, reps: DataFrame, kind: str, k: int, floor: float, fil
                 side.extend([0] * len(plain))
             e = np.rint(127 * x / np.abs(x).max(axis=1, keepdims=True)).astype(np.int8)
             rep = pdf["rep"].to_numpy()
-            yield pd.DataFrame({"file": np.array(file, np.int32), "lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32), "side": np.array(side, np.int32), "ask": pdf["ask"].to_numpy()[rows], "rep": rep[rows], "perm": [perm[r].tobytes() for r in rows], "e": [e[r].tobytes() for r in rows]})
+            yield pd.DataFrame({"file": np.array(file, np.int32), "lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32), "side": np.array(side, np.int32), "ask": pdf["ask"].to_numpy()[rows], "rep": rep[rows], "perm": [perm[r].tobytes() for r in rows] if rerank else None, "e": [e[r].tobytes() for r in rows]})
 
     posted = reps.select("rep", "e", "ask").mapInPandas(post, f"file int, lo int, hi int, side int, ask boolean, rep {kind}, perm binary, e binary")
 
@@ -276,7 +277,7 @@ def in_files(v: DataFrame, reps: DataFrame, kind: str, k: int, floor: float, fil
         x32 = np.frombuffer(b"".join(df["e"]), np.int8).reshape(len(df), -1).astype(np.float32)
         rough = np.sqrt(x32.shape[1]) / 127  # what rounding to a byte a number can change of a cosine
         x32 /= np.sqrt((x32 * x32).sum(axis=1, keepdims=True))
-        perm = np.frombuffer(b"".join(df["perm"]), np.int16).reshape(len(df), length)
+        perm = np.frombuffer(b"".join(df["perm"]), np.int16).reshape(len(df), length) if rerank else None
         side, ask = df["side"].to_numpy(), df["ask"].to_numpy()
         if not side.any():
             halves = [(np.flatnonzero(ask), np.arange(len(df)))]
@@ -302,7 +303,8 @@ def in_files(v: DataFrame, reps: DataFrame, kind: str, k: int, floor: float, fil
 
     keys = ["file", "lo", "hi"]
     met = posted.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each_group(keys, meet), f"q {kind}, t {kind}").distinct()
-    own = reps.select("rep", "e")
+    met = stored(met)
+    own = maybe_among(reps.select("rep", "e"), F.col("rep"), met.select(F.explode(F.array("q", "t"))))
     both = met.join(own.withColumnsRenamed({"rep": "q", "e": "a"}), "q").join(own.withColumnsRenamed({"rep": "t", "e": "b"}), "t")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,7 +337,8 @@ def neighbours(vectors: DataFrame, key: str, embedding: str, k: int = 10, floor:
     if floor >= INDEXED:
         met = stored(in_files(v, reps, kind, k, floor, files, prefix, rerank, per_pivot, block))
         crowded = met.groupBy("q").count().where(F.col("count") >= CROWDED)
-        more = compared(reps.join(crowded, reps["rep"] == crowded["q"], "left_semi"), reps, k, floor)
+        crowd = maybe_among(reps, F.col("rep"), crowded.select("q"))
+        more = compared(crowd.join(crowded, crowd["rep"] == crowded["q"], "left_semi"), reps, k, floor)
         met = met.unionByName(more)
     else:
         met = compared(reps.where("ask"), reps, k, floor)
