@@ -1,3 +1,6 @@
+import io
+import zipfile
+
 import uuid
 
 import pytest
@@ -53,11 +56,15 @@ def test_boxes(spark):
 
 
 def test_formats(spark):
-    for name, fmt, route in [("a/b.PDF", "PDF", "PDF"), ("x.doc", "DOC", "SKIP"), ("x.pptx", "PPTX", "PPTX_NATIVE"), ("x.md", "MD", "TEXT"), ("x.heic", "HEIC", "IMAGE"), ("x.unknown", "", "SKIP"), ("noext", "", "SKIP")]:
+    for name, fmt, route in [("a/b.PDF", "PDF", "PDF"), ("x.doc", "DOC", "SKIP"), ("x.pptx", "PPTX", "PPTX_NATIVE"), ("x.md", "MD", "TEXT"), ("x.heic", "IMAGE", "IMAGE"), ("x.mkv", "VIDEO", "VIDEO"), ("x.unknown", "", "SKIP"), ("noext", "", "SKIP")]:
         assert one(spark, formats.format_of_name(F.lit(name))) == fmt
         assert one(spark, formats.route_of(F.lit(fmt))) == route
-    zipped = bytearray(b"PK\x03\x04....word/document.xml")
-    assert one(spark, formats.format_of_file(F.lit("x.zip"), F.lit(zipped))) == "DOCX"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", "x")
+    assert one(spark, formats.format_of_file(F.lit("x.zip"), F.lit(bytearray(held.getvalue())))) == "DOCX"
+    # a container that can't be read goes by its extension, whatever its bytes hold
+    assert one(spark, formats.format_of_file(F.lit("x.zip"), F.lit(bytearray(b"PK\x03\x04....word/document.xml")))) == ""
     assert one(spark, formats.format_of_file(F.lit("x.txt"), F.lit(bytearray(b"%PDF-1.7")))) == "PDF"
     assert "doc" not in formats.convertible() and "pdf" in formats.convertible()
 
