@@ -1,8 +1,8 @@
 import io
-import zipfile
-
 import uuid
+import zipfile
 
+import pytest
 import pytest
 from pyspark.sql import functions as F
 
