@@ -2,7 +2,6 @@ import io
 import uuid
 import zipfile
 
-import pytest
 import pytest
 from pyspark.sql import functions as F
 
