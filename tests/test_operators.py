@@ -121,6 +121,22 @@ def test_throttle(spark):
     assert sorted(r["event_id"] for r in throttle.refused(df).where("refused").collect()) == [5, 6]
 
 
+def test_throttle_of_a_hot_account(spark):
+    rng = random.Random(7)
+    at, data = 0.0, []
+    for i in range(600):
+        at += rng.choice([1.0, 30.0, 400.0, 900.0, 901.0, 5000.0])
+        data.append(("u", i, at, rng.random() < 0.8))
+    state, want = (0, 0.0, 0.0), set()
+    for _, i, t, failed in data:
+        state, no = throttle.step(state, t, failed)
+        want |= {i} if no else set()
+    df = spark.createDataFrame(data, "user_id string, event_id int, at double, failed boolean")
+    for hot in (10**6, 50):
+        assert {r["event_id"] for r in throttle.refused(df, hot_rows=hot).where("refused").collect()} == want
+    assert want
+
+
 def test_chunk_invariants():
     rng = random.Random(0)
     for _ in range(30):
