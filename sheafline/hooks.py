@@ -34,7 +34,7 @@ def batched(make: Callable[[], Callable[[list], list]], returns: str | T.DataTyp
 
 
 def hashed_vectors(dim: int = DIM, prefix: str = "") -> Callable[[list], list]:
-    """The default embedder: signed hashed counts of words and word pairs, of unit length. Blank texts give zeros."""
+    """The default embedder: signed hashed counts of words and word pairs, of unit length. Texts without a word give zeros, with a prefix too."""
     import re
 
     import xxhash
@@ -45,7 +45,7 @@ def hashed_vectors(dim: int = DIM, prefix: str = "") -> Callable[[list], list]:
         out = []
         for t in texts:
             v = np.zeros(dim, np.float64)
-            w = word.findall((prefix + (t or "")).lower()) if t and t.strip() else []
+            w = word.findall((prefix + t).lower()) if t and word.search(t) else []
             for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]:
                 h = xxhash.xxh64_intdigest(x)
                 v[h % dim] += 1.0 if h >> 63 else -1.0

@@ -26,6 +26,12 @@ def test_default_embedding(spark):
     assert best["id"] == 2 and abs(best["score"] - 1) < 1e-3
 
 
+def test_texts_without_a_word_have_no_vector(spark):
+    df = hooks.embedded(spark.createDataFrame([(1, "..."), (2, "\u2022"), (3, " \u2014\n"), (4, "_"), (5, "\u00b2")], "id int, text string"), dim=64)
+    assert {r["id"]: any(r["embedding"]) for r in df.collect()} == {1: False, 2: False, 3: False, 4: True, 5: True}
+    assert hooks.query_vector_or_reason("...") == (None, "empty vector")
+
+
 def test_extractor_output(spark):
     t = spark.createDataFrame([("d", 1, "| a |", 1), ("d", 1, "| a |", 2), ("d", 2, "| a |", 3), ("d", 2, None, 4)], "doc_id string, page int, markdown string, ord int")
     assert sorted(r["ord"] for r in extract.distinct_tables(t, ["ord"]).collect()) == [1, 3, 4]
