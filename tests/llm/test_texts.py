@@ -328,3 +328,42 @@ def test_speakers_of_three_digits(spark):
 def test_long_tags_are_no_words():
     tag = '<a href="https://example.org/' + "long/" * 80 + '">'
     assert leaks.words_of(f"one {tag}two</a> three", {}) == ["one", "two", "three"]
+
+
+def test_shingles_of_many_texts_at_once():
+    """The shingles are those of the words one by one, and cost about as much as to split the texts into words."""
+    import re
+    import time
+
+    import xxhash
+
+    def split(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    def plainly(text, words):
+        h = [xxhash.xxh64_intdigest(w) for w in split(text)]
+        s = []
+        for i in range(len(h) - words + 1):
+            x = 0
+            for v in h[i : i + words]:
+                x = (x * int(neardup._C[0]) + v) % 2**64
+            s.append(x)
+        return sorted(set((neardup._mix(np.array(s, np.uint64)) >> np.uint64(32)).tolist()))
+
+    rng = random.Random(11)
+    odd = [" ".join("".join(rng.choice("abYZ09é_-ß中\n") for _ in range(rng.randrange(1, 90))) for _ in range(rng.randrange(30))) for _ in range(150)]
+    odd += ["", None, " _ ", "a b", "A B c", "x" * 31 + " " + "y" * 32 + " " + "z" * 100, "İstanbul ǅ ² ½ x\x00y", "end of text", "End of a text"]
+    for words, least in ((3, 3), (5, 7), (1, 1)):
+        kept, s, at = neardup.shingled(odd, words, least)
+        assert kept.tolist() == [i for i, t in enumerate(odd) if len(split(t)) >= max(words, least)]
+        assert [s[a:b].tolist() for a, b in zip(at, at[1:])] == [plainly(odd[i], words) for i in kept]
+
+    vocab = [f"{'abcdefghijkl'[: i % 9 + 1]}{i}" for i in range(20_000)]
+    texts = [" ".join(rng.choices(vocab, k=100)) for _ in range(3000)]
+    spent = {"split": [], "shingled": []}
+    for _ in range(7):
+        for name, f in (("split", lambda: [t.lower().split() for t in texts]), ("shingled", lambda: neardup.shingled(texts, 3, 20))):
+            began = time.process_time()
+            f()
+            spent[name].append(time.process_time() - began)
+    assert min(spent["shingled"]) < 1.6 * min(spent["split"])  # 0.5 to 1 here; word by word it was about 2.5
